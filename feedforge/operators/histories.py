@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedforge.functions.actions import ACTIONS, action_vector
-from feedforge.operators.segments import HOT_ROWS, SEGMENT, asc, cut, desc, row_number, top_n
+from feedforge.operators.segments import HOT_ROWS, SEGMENT, as_constant, asc, cut, desc, row_number, top_n
 
 TIME_ORDER = (asc("ts_s"), asc("row_id"))
 MAX_HISTORY = 128
@@ -76,14 +76,28 @@ def with_prior_history(
     ``size`` rows before it. Rows of one second share the history of the first
     of them, so a row never sees its own second.
     """
-    parts = cut(df, ["user_id"], [asc("ts_s")], hot_rows, cuts, ties=True)
-    carried = ["user_id", "ts_s", "row_id", *[f for f in fields if f not in ("user_id", "ts_s", "row_id")]]
+    rows = cut(df, ["user_id"], [asc("ts_s")], hot_rows, cuts, ties=True)
+    if rows is None:
+        everything = df.withColumns({SEGMENT: F.lit(0), "_own": F.lit(True)})
+    else:
+        everything = _with_earlier_tails(rows, size, fields)
+    by = Window.partitionBy("user_id", SEGMENT).orderBy("ts_s", "row_id")
+    step = F.struct(*fields)
+    before = F.collect_list(step).over(by.rowsBetween(-size, -1))
+    second = Window.partitionBy("user_id", SEGMENT, "ts_s").orderBy("row_id")
+    shared = F.first("_before").over(second.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    result = everything.withColumn("_before", before).withColumn(name, F.reverse(shared)).where("_own")
+    return result.drop("_before", "_own", SEGMENT)
 
-    hot_rows_only = parts.rows.where("_cut")
-    sizes = hot_rows_only.groupBy("user_id", SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
+
+def _with_earlier_tails(rows: DataFrame, size: int, fields: Sequence[str]) -> DataFrame:
+    """Cut rows, with copies of the ``size`` rows before each later segment."""
+    carried = ["user_id", "ts_s", "row_id", *[f for f in fields if f not in ("user_id", "ts_s", "row_id")]]
+    hot = rows.where("_cut")
     until = F.sum("_n").over(Window.partitionBy("user_id").orderBy(SEGMENT))
-    sizes = sizes.select("user_id", F.col(SEGMENT), F.col("_n"), until.alias("_until"))
-    sources = sizes.select("user_id", F.col(SEGMENT), F.col("_until").alias("_source_until"))
+    counts = hot.groupBy("user_id", SEGMENT).agg(F.count(F.lit(1)).alias("_n")).withColumn("_until", until)
+    sizes = as_constant(counts)
+    sources = sizes.select("user_id", SEGMENT, F.col("_until").alias("_source_until"))
     targets = sizes.select(
         "user_id", F.col(SEGMENT).alias("_target"), (F.col("_until") - F.col("_n")).alias("_target_start")
     )
@@ -93,24 +107,15 @@ def with_prior_history(
         .where((F.col("_target") > F.col(SEGMENT)) & (gap < size))
         .select("user_id", SEGMENT, "_target", gap.alias("_gap"))
     )
-    tails = top_n(
-        hot_rows_only.select(*carried, SEGMENT), ["user_id", SEGMENT], [desc("ts_s"), desc("row_id")], size, "_back"
-    )
+    order = [desc("ts_s"), desc("row_id")]
+    tails = top_n(hot.select(*carried, SEGMENT), ["user_id", SEGMENT], order, size, "_back")
     copies = (
         tails.join(F.broadcast(reach), ["user_id", SEGMENT])
         .where(F.col("_back") + F.col("_gap") <= size)
         .select(*carried, F.col("_target").alias(SEGMENT), F.lit(False).alias("_own"))
     )
-    own = parts.rows.withColumn("_own", F.lit(True)).drop("_cut")
-    everything = own.unionByName(copies, allowMissingColumns=True)
-
-    by = Window.partitionBy("user_id", SEGMENT).orderBy("ts_s", "row_id")
-    step = F.struct(*fields)
-    before = F.collect_list(step).over(by.rowsBetween(-size, -1))
-    second = Window.partitionBy("user_id", SEGMENT, "ts_s").orderBy("row_id")
-    shared = F.first("_before").over(second.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    result = everything.withColumn("_before", before).withColumn(name, F.reverse(shared)).where("_own")
-    return result.drop("_before", "_own", SEGMENT)
+    own = rows.withColumn("_own", F.lit(True)).drop("_cut")
+    return own.unionByName(copies, allowMissingColumns=True)
 
 
 def with_history_items(df: DataFrame, size: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:

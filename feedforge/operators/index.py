@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,49 +38,51 @@ def shuffled_index(
 
 
 def order_statistics(
-    df: DataFrame, order: list[str], levels: list[Column], positions: Mapping[str, Column]
-) -> DataFrame:
+    df: DataFrame, order: list[str], levels: list[Column], positions: Mapping[str, Callable[[int], int]]
+) -> dict[str, tuple | None]:
     """The order keys found at given 0-based positions of a total order.
 
-    ``levels`` refine the order from coarse to exact, ending in a unique one.
-    Each level is one aggregated scan of the rows that can still hold a
-    position, so no row is shuffled. The result has one row per position name
-    with the key columns; positions past the end are absent.
+    ``levels`` refine the order from coarse to exact, ending in a unique one;
+    ``positions`` gives a position from the number of rows. Each level is one
+    counting scan of the rows that can still hold a position, so no row is
+    shuffled and one row per position reaches the driver. A position past the
+    end has no key.
     """
-    spark = df.sparkSession
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    wanted = spark.range(1).select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("name"), p(total).cast("bigint").alias("_rest"))
-                    for n, p in positions.items()
-                ]
-            )
-        ).alias("_p")
-    ).select("_p.*")
-    keys = [f"_level{i}" for i in range(len(levels))]
-    rows = df.select(*order, *[e.alias(k) for k, e in zip(keys, levels)])
-    found = wanted
-    for i, key in enumerate(keys):
-        last = i == len(keys) - 1
-        kept = [F.min(c).alias(c) for c in order] if last else []
-        counts = [F.count(F.lit(1)).alias("_n"), *kept]
-        if i == 0:
-            sized = rows.groupBy(key).agg(*counts)
-            until = F.sum("_n").over(Window.orderBy(key))
-            sized = sized.withColumn("_until", until)
-            found = sized.join(
-                F.broadcast(found),
-                (F.col("_rest") >= F.col("_until") - F.col("_n")) & (F.col("_rest") < F.col("_until")),
-            )
-        else:
-            near = rows.join(F.broadcast(found), keys[:i])
-            sized = near.groupBy("name", "_rest", *keys[:i], key).agg(*counts)
-            until = F.sum("_n").over(Window.partitionBy("name").orderBy(key))
-            sized = sized.withColumn("_until", until)
-            found = sized.where(
-                (F.col("_rest") >= F.col("_until") - F.col("_n")) & (F.col("_rest") < F.col("_until"))
+    names = [f"_level{i}" for i in range(len(levels))]
+    rows = df.select(*order, *[e.alias(n) for n, e in zip(names, levels)])
+    total = rows.count()
+    rest = {name: position(total) for name, position in positions.items()}
+    prefix: dict[str, tuple] = {name: () for name, at in rest.items() if 0 <= at < total}
+    for name in names:
+        last = name == names[-1]
+        for prior in sorted(set(prefix.values())):
+            here = rows
+            for at, value in zip(names, prior):
+                here = here.where(F.col(at) == value)
+            sizes = here.groupBy(name).agg(
+                F.count(F.lit(1)).alias("_n"), *([F.min(c).alias(f"_key_{c}") for c in order] if last else [])
             )
-        found = found.withColumn("_rest", F.col("_rest") - F.col("_until") + F.col("_n")).drop("_n", "_until")
-    return found.select("name", *order)
+            until = F.sum("_n").over(Window.orderBy(name))
+            sizes = sizes.withColumn("_until", until)
+            wanted = [n for n, p in prefix.items() if p == prior]
+            hit = F.lit(False)
+            for n in wanted:
+                hit = hit | ((F.col("_until") - F.col("_n") <= rest[n]) & (F.col("_until") > rest[n]))
+            for row in sizes.where(hit).collect():
+                begin = row["_until"] - row["_n"]
+                for n in wanted:
+                    if begin <= rest[n] < row["_until"]:
+                        prefix[n] = (*prior, row[name]) if not last else tuple(row[f"_key_{c}"] for c in order)
+                        rest[n] -= begin
+    return {name: prefix.get(name) for name in positions}
+
+
+def before_key(order: list[str], key: tuple | None) -> Column:
+    """True for rows whose order key is smaller than ``key``; always true without one."""
+    if key is None:
+        return F.lit(True)
+    smaller, equal = F.lit(False), F.lit(True)
+    for column, value in zip(order, key):
+        smaller = smaller | (equal & (F.col(column) < value))
+        equal = equal & (F.col(column) == value)
+    return smaller

@@ -1,11 +1,14 @@
 """Ordered work inside groups without one task per group.
 
-A plain window sends a whole group to one task. Here the few groups that are
-too large are cut into segments along their order, each segment is a window
-partition of its own, and a small table of segment totals carries the result
-across the cuts. The cut points come from a sample chosen by hash, so both
-uses of them agree after any recomputation, and they change the plan only,
-never the result.
+A plain window sends a whole group to one task. Before such a window the group
+sizes are counted, which is one aggregated pass over the keys. Usually no
+group is too large and the plain window is used. Groups that are too large are
+cut into segments along their order, each segment is a window partition of its
+own, and small tables of cut points and segment totals carry the result across
+the cuts. These tables are read once while the plan is built and enter it as
+constants, so the plan reads its input once and every retry sees the same
+cuts. Their size is bounded by ``MAX_HOT_GROUPS * CUTS`` rows. Cuts change the
+plan only, never the result.
 """
 
 from __future__ import annotations
@@ -54,23 +57,17 @@ def desc(column: str) -> Order:
     return Order(column, True)
 
 
-@dataclass(frozen=True)
-class Segmented:
-    """Rows with their segment, and the keys of one window partition."""
-
-    rows: DataFrame
-    keys: list[str]
-    hot: DataFrame
+def as_constant(df: DataFrame) -> DataFrame:
+    """A small result as a constant table; only for results of bounded size."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
-    def window(self, order: Sequence[Order]):
-        return Window.partitionBy(*self.keys, SEGMENT).orderBy(*[o.sort() for o in order])
 
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of the groups to cut; at most ``MAX_HOT_GROUPS`` rows, so always small."""
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys of the groups to cut, at most ``MAX_HOT_GROUPS``, or None."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
     largest = counts.orderBy(F.col("_rows").desc(), *[F.col(k) for k in keys]).limit(MAX_HOT_GROUPS)
-    return largest.select(*keys)
+    hot = as_constant(largest.select(*keys))
+    return None if hot.isEmpty() else hot
 
 
 def cut(
@@ -80,20 +77,22 @@ def cut(
     hot_rows: int = HOT_ROWS,
     cuts: int = CUTS,
     ties: bool = False,
-) -> Segmented:
-    """Add the segment number of every row: 0 in ordinary groups.
+) -> DataFrame | None:
+    """Rows with their segment number, or None when no group is too large.
 
-    Rows equal in ``order`` share a segment; set ``ties`` when there may be
-    many of them. Broadcasts are bounded by ``MAX_HOT_GROUPS * cuts`` keys.
+    Ordinary groups are segment 0 and have ``_cut`` false. Rows equal in
+    ``order`` share a segment; set ``ties`` when there may be many of them.
     """
     keys = list(keys)
     hot = hot_groups(df, keys, hot_rows)
+    if hot is None:
+        return None
     key = F.struct(*[o.ascending_key().alias(f"k{i}") for i, o in enumerate(order)])
     candidates = df.join(F.broadcast(hot), keys, "left_semi").select(*keys, key.alias(_KEY))
     if ties:
         candidates = candidates.distinct()
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(_KEY), F.col(_KEY))
-    points = (
+    points = as_constant(
         candidates.withColumn("_n", F.row_number().over(by_hash))
         .where(F.col("_n") <= cuts)
         .groupBy(*keys)
@@ -102,14 +101,13 @@ def cut(
     segment = F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(
         F.size(F.filter(F.col(_CUTS), lambda c: c <= F.col(_KEY)))
     )
-    rows = (
+    return (
         df.withColumn(_KEY, key)
         .join(F.broadcast(points), keys, "left")
         .withColumn(SEGMENT, segment)
         .withColumn("_cut", F.col(_CUTS).isNotNull())
         .drop(_CUTS, _KEY)
     )
-    return Segmented(rows, keys, hot)
 
 
 _SUPPORTED = ("count", "sum", "max", "min", "first")
@@ -129,7 +127,7 @@ def running(
     ``outputs`` maps a new column to (kind, expression); kinds are count, sum,
     max, min and first (the value of the group's first row). ``order`` must be
     total. Set ``bounded`` when every group is small by construction, which
-    leaves a plain window. Empty ``keys`` mean one global group.
+    spares the count of group sizes. Empty ``keys`` mean one global group.
     """
     for kind, _ in outputs.values():
         if kind not in _SUPPORTED:
@@ -139,33 +137,34 @@ def running(
     if not keys:
         df, keys, drop = df.withColumn("_all", F.lit(0)), ["_all"], ["_all"]
     inputs = {f"_in_{name}": (F.lit(1).cast("bigint") if e is None else e) for name, (_, e) in outputs.items()}
-    df = df.withColumns(inputs)
     drop += list(inputs)
+    ready = df.withColumns(inputs)
 
-    if bounded:
+    rows = None if bounded else cut(ready, keys, order, hot_rows, cuts)
+    if rows is None:
         by = Window.partitionBy(*keys).orderBy(*[o.sort() for o in order])
         columns = {n: _over(kind, f"_in_{n}", by) for n, (kind, _) in outputs.items()}
-        return df.withColumns(columns).drop(*drop)
-
-    parts = cut(df, keys, order, hot_rows, cuts)
-    by = parts.window(order)
-    local = parts.rows.withColumns({n: _over(kind, f"_in_{n}", by) for n, (kind, _) in outputs.items()})
+        return ready.withColumns(columns).drop(*drop)
 
+    by = Window.partitionBy(*keys, SEGMENT).orderBy(*[o.sort() for o in order])
+    local = rows.withColumns({n: _over(kind, f"_in_{n}", by) for n, (kind, _) in outputs.items()})
     key = F.struct(*[o.ascending_key() for o in order])
     totals = (
-        parts.rows.where("_cut")
+        rows.where("_cut")
         .groupBy(*keys, SEGMENT)
         .agg(*[_total(kind, f"_in_{n}", key).alias(f"_total_{n}") for n, (kind, _) in outputs.items()])
     )
     earlier = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = totals.select(
-        *keys,
-        SEGMENT,
-        *[
-            _combine(kind, f"_total_{n}", whole if kind == "first" else earlier).alias(f"_before_{n}")
-            for n, (kind, _) in outputs.items()
-        ],
+    before = as_constant(
+        totals.select(
+            *keys,
+            SEGMENT,
+            *[
+                _combine(kind, f"_total_{n}", whole if kind == "first" else earlier).alias(f"_before_{n}")
+                for n, (kind, _) in outputs.items()
+            ],
+        )
     )
     joined = local.join(F.broadcast(before), [*keys, SEGMENT], "left")
     merged = {n: _merge(kind, n, f"_before_{n}") for n, (kind, _) in outputs.items()}

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.functions.draws import mix
-from feedforge.operators.index import BLOCK, order_statistics
+from feedforge.operators.index import BLOCK, before_key, order_statistics
 
 DAY = 86_400
 
 
-def _position(ratio: float):
-    return lambda total: F.floor(total * F.lit(ratio))
-
-
-def time_cuts(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0.1) -> DataFrame:
+def time_cuts(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0.1) -> dict[str, tuple | None]:
     """First keys of the validation and test parts in (ts_s, row_id) order."""
     levels = [F.floor(F.col("ts_s") / DAY), F.col("ts_s"), F.floor(F.col("row_id") / BLOCK), F.col("row_id")]
-    positions = {"val": _position(train_ratio), "test": _position(train_ratio + val_ratio)}
+    positions = {
+        "val": lambda total: int(total * train_ratio),
+        "test": lambda total: int(total * (train_ratio + val_ratio)),
+    }
     return order_statistics(df, ["ts_s", "row_id"], levels, positions)
 
 
@@ -29,13 +28,9 @@ def temporal_split(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0
     where it lies, so the log is never sorted or shuffled.
     """
     cuts = time_cuts(df, train_ratio, val_ratio)
-
-    def before(name: str) -> Column:
-        cut = cuts.where(F.col("name") == name).select(F.struct("ts_s", "row_id")).scalar()
-        return F.coalesce(F.struct("ts_s", "row_id") < cut, F.lit(True))
-
-    split = F.when(before("val"), "train").when(before("test"), "val").otherwise("test")
-    return df.withColumn("split", split)
+    order = ["ts_s", "row_id"]
+    split = F.when(before_key(order, cuts["val"]), "train").when(before_key(order, cuts["test"]), "val")
+    return df.withColumn("split", split.otherwise("test"))
 
 
 def part(df: DataFrame, name: str) -> DataFrame:
@@ -84,9 +79,9 @@ def subsample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
         F.floor(F.col("row_id") / BLOCK),
         F.col("row_id"),
     ]
-    limit = order_statistics(hashed, ["_hash", "row_id"], levels, {"limit": lambda total: F.lit(n)})
-    cut = limit.select(F.struct("_hash", "row_id")).scalar()
-    return hashed.where(F.coalesce(F.struct("_hash", "row_id") < cut, F.lit(True))).drop("_hash")
+    order = ["_hash", "row_id"]
+    cut = order_statistics(hashed, order, levels, {"limit": lambda total: n})["limit"]
+    return hashed.where(before_key(order, cut)).drop("_hash")
 
 
 def rows_of_first_positions(df: DataFrame) -> DataFrame:

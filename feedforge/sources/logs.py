@@ -117,7 +117,7 @@ def to_interactions(df: DataFrame) -> DataFrame:
     return df.select(
         F.col("row_id").cast("bigint").alias("row_id"),
         finalize_int(F.col("user_id")).alias("user_id"),
-        finalize_int(F.col("item_id")).alias("item_id"),
+        _default_int(df, "item_id", "bigint").alias("item_id"),
         ts.cast("bigint").alias("ts_s"),
         *[_default_int(df, a, "int").alias(a) for a in ACTIONS],
         duration(df).alias("reading_duration"),

@@ -193,5 +193,5 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Empty a stored snapshot; a stream restarts with a new checkpoint folder."""
-    spark.createDataFrame([], OUTPUT_SCHEMA).write.mode("overwrite").parquet(f"{path}/batch_id=0")
+    """Empty a stored snapshot; a stream that starts over takes a new checkpoint and path."""
+    spark.createDataFrame([], OUTPUT_SCHEMA + ", batch_id bigint").write.mode("overwrite").parquet(path)
