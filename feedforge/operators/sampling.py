@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from feedforge.functions.draws import PRIME, draw, mix
 from feedforge.operators.index import BUCKETS, shuffled_index
 from feedforge.operators.segments import HOT_ROWS, asc, row_number
+from feedforge.session import written
 
 ATTEMPTS_PER_NEGATIVE = 10
 SLOT_TRIES = 100
@@ -55,15 +56,21 @@ def _enough(found: DataFrame, n: int) -> DataFrame:
     return found.where(F.size("negatives") >= n)
 
 
-def _rounds(samples: DataFrame, n: int, stops: list[int | Column], sample_round) -> DataFrame:
-    """Run rounds of attempts; each round serves the samples still short."""
-    found = sample_round(_steps(samples.select("sample_id", "user_id"), 0, stops[0]))
+def _rounds(samples: DataFrame, n: int, stops: list[int], sample_round) -> DataFrame:
+    """Run rounds of attempts; each round serves the samples still short.
+
+    A round's result is written before the next one reads it twice, so no
+    draw is repeated. Rounds end as soon as no sample is short.
+    """
+    found = written(sample_round(_steps(samples.select("sample_id", "user_id"), 0, stops[0])), "negatives")
     for begin, stop in zip(stops, stops[1:]):
         short = _short(found, n).withColumnRenamed("negatives", "_have")
+        if stop <= begin or short.isEmpty():
+            break
         again = sample_round(_steps(short.select("sample_id", "user_id"), begin, stop))
         again = short.join(again.withColumnRenamed("negatives", "_more"), ["sample_id", "user_id"], "left")
         have = F.when(F.col("_more").isNull(), F.col("_have")).otherwise(F.concat("_have", "_more"))
-        topped = again.select("sample_id", "user_id", F.slice(have, 1, n).alias("negatives"))
+        topped = written(again.select("sample_id", "user_id", F.slice(have, 1, n).alias("negatives")), "negatives")
         found = _enough(found, n).unionByName(topped)
     return found
 
@@ -194,6 +201,8 @@ def pool_negatives(
     found = _rounds(samples, n, stops, one_round)
 
     short = _short(found, n).select("sample_id", "user_id")
+    if short.isEmpty():
+        return found
     left = _difference(short.select("user_id").distinct(), positives, indexed, size)
     left = row_number(left, ["user_id"], [asc("idx")], "_k", hot_rows)
     counts = left.groupBy("user_id").agg(F.count(F.lit(1)).alias("_left"))
@@ -224,7 +233,8 @@ def slot_negatives(
     """Exactly ``n`` draws from ``pool`` per sample, with replacement.
 
     A draw that hits a positive is repeated up to 100 times, and then stays as
-    first drawn. The pool must not be empty.
+    first drawn. The pool must not be empty. Only open slots draw again; what
+    a round found is written before the next one reads it.
     """
     pool = pool.select("item_id").distinct()
     indexed = shuffled_index(pool, "item_id", seed)
@@ -239,7 +249,7 @@ def slot_negatives(
 
     keys = ["sample_id", "user_id", "slot"]
     slot = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot")
-    first = tries(samples.select("sample_id", "user_id", slot), 0, 1).drop("try")
+    first = written(tries(samples.select("sample_id", "user_id", slot), 0, 1).drop("try"), "slots")
     done = first.where("ok").select(*keys, "item_id")
     open_slots = first.where(~F.col("ok")).withColumnRenamed("item_id", "_first").drop("ok")
     for begin, stop in ((1, 9), (9, SLOT_TRIES + 1)):
@@ -248,7 +258,9 @@ def slot_negatives(
             .groupBy(*keys)
             .agg(F.min_by(F.when(F.col("ok"), F.col("item_id")), F.when(F.col("ok"), F.col("try"))).alias("item_id"))
         )
-        tried = open_slots.join(picks, keys, "left")
+        if open_slots.isEmpty():
+            break
+        tried = written(open_slots.join(picks, keys, "left"), "slots")
         done = done.unionByName(tried.where(F.col("item_id").isNotNull()).select(*keys, "item_id"))
         open_slots = tried.where(F.col("item_id").isNull()).drop("item_id")
     done = done.unionByName(open_slots.select(*keys, F.col("_first").alias("item_id")))
@@ -281,6 +293,15 @@ def filled_negatives(
     return _enough(found, n).unionByName(topped)
 
 
+def pool_draws(samples: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:
+    """One random pool item per sample, positives not excluded."""
+    pool = pool.select("item_id").distinct()
+    indexed = shuffled_index(pool, "item_id", seed)
+    size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
+    drawn = samples.withColumn("idx", draw(F.col("sample_id"), seed, 1, size))
+    return drawn.join(indexed, "idx").drop("idx")
+
+
 def exploded(negatives: DataFrame) -> DataFrame:
     """One row per negative with its place, from 0."""
     return negatives.select("sample_id", "user_id", F.posexplode("negatives").alias("neg_pos", "item_id"))

@@ -262,10 +262,10 @@ def best_three_per_user(spark, sf_dir):
 
 
 @query(f"""
-WITH {SCORED} SELECT request_id, pos, round(score / 2 * power(0.7::DOUBLE,
+WITH {SCORED} SELECT request_id, pos, round(score / 3 * power(0.7::DOUBLE,
   row_number() OVER (PARTITION BY request_id, author_id ORDER BY pos) - 1), 6) AS score FROM s""")
 def scorer_chain(spark, sf_dir):
-    steps = [lambda df: _weighted(), lambda df: F.round("score", 9) / 2, ranking.author_diversity]
+    steps = [lambda df: _weighted(), lambda df: F.round("score", 9) / 3, ranking.author_diversity]
     found = scoring.score_chain(candidates(spark, sf_dir), steps)
     return found.select("request_id", "pos", F.round("score", 6).alias("score"))
 

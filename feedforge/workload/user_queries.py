@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from feedforge.functions import actions, hashing, history
 from feedforge.functions.coerce import finite, finite_array
 from feedforge.operators import histories, profiles
-from feedforge.operators.split import rows_of_first_positions
+from feedforge.operators.split import part, rows_of_first_positions, temporal_split
 from feedforge.plans.datasets import with_history_block, with_stored_history
 from feedforge.workload.registry import joined_text, query
-from feedforge.workload.views import INTERACTIONS, PRIOR, interactions, table
+from feedforge.workload.views import INTERACTIONS, PRIOR, PRIOR_ONLY, SPLIT, interactions, table
 
 
 @query(f"""
@@ -96,12 +96,14 @@ def latest_row_per_user(spark, sf_dir):
 
 
 @query(f"""
-WITH {PRIOR} SELECT user_id, row_id, array_to_string(hist_items, ',') AS hist_items FROM (
+WITH {SPLIT}, {PRIOR_ONLY} SELECT user_id, row_id, array_to_string(hist_items, ',') AS hist_items FROM (
   SELECT i.*, coalesce(p.hist_items, []) AS hist_items,
          row_number() OVER (PARTITION BY i.user_id ORDER BY i.row_id) AS rn
-  FROM interactions i JOIN prior p USING (row_id)) WHERE rn = 1 AND len(hist_items) > 0""")
+  FROM split_log i JOIN prior p USING (row_id) WHERE split = 'test') WHERE rn = 1 AND len(hist_items) > 0""")
 def first_row_with_history(spark, sf_dir):
-    rows = rows_of_first_positions(with_stored_history(interactions(spark, sf_dir)))
+    """First test row of every user, where it has a history."""
+    log = temporal_split(with_stored_history(interactions(spark, sf_dir)))
+    rows = rows_of_first_positions(part(log, "test"))
     return rows.select("user_id", "row_id", joined_text(F.col("hist_items")).alias("hist_items"))
 
 

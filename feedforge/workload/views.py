@@ -61,9 +61,8 @@ SPLIT = (
 
 # Interactions in the positions their user history needs: the latest 10 rows
 # strictly before each row, newest first.
-PRIOR = (
-    INTERACTIONS
-    + """, prior AS (
+PRIOR_ONLY = """
+prior AS (
   SELECT row_id, user_id, list(h_item ORDER BY h_ts DESC, h_row DESC) FILTER (h_item IS NOT NULL) AS hist_items
   FROM (
     SELECT i.row_id, i.user_id, h.item_id AS h_item, h.ts_s AS h_ts, h.row_id AS h_row,
@@ -71,7 +70,7 @@ PRIOR = (
     FROM interactions i LEFT JOIN interactions h ON h.user_id = i.user_id AND h.ts_s < i.ts_s
   ) WHERE rn <= 10 GROUP BY row_id, user_id
 )"""
-)
+PRIOR = INTERACTIONS + "," + PRIOR_ONLY
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
