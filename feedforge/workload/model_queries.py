@@ -1 +1,66 @@
-"""Placeholder."""
+"""Models fitted on the given tables; their values have no SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from feedforge.functions.actions import ACTIONS
+from feedforge.operators.histories import latest_rows
+from feedforge.operators.sampling import pool_negatives
+from feedforge.operators.split import part, temporal_split
+from feedforge.operators.stats import user_items
+from feedforge.plans import datasets, models
+from feedforge.session import written
+from feedforge.workload.registry import query
+from feedforge.workload.views import interactions
+
+
+def _log(spark, sf_dir):
+    return written(temporal_split(datasets.with_stored_history(interactions(spark, sf_dir))), "model-log")
+
+
+def _fit(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    train = part(log, "train")
+    als = models.fit_retrieval(train)
+    users, items = models.user_vectors(als), models.item_vectors(als)
+    features = models.FeatureTables(train, users, items)
+    return log, train, users, items, features
+
+
+def _labelled(log, rows, features, seed=42):
+    """Rows and one negative each, as candidates with features and labels."""
+    pool = datasets.training_items(log)
+    samples = rows.select(F.col("row_id").alias("sample_id"), "user_id")
+    negatives = pool_negatives(samples, user_items(log), pool, 1, seed)
+    flat = datasets.candidate_rows(rows, negatives, seed)
+    history = rows.select(F.col("row_id").alias("sample_id"), "hist_items")
+    return features.attach(flat.join(history, "sample_id"))
+
+
+@query()
+def retrieval_model(spark, sf_dir):
+    """User and item factors of the training clicks."""
+    als = models.fit_retrieval(part(temporal_split(interactions(spark, sf_dir)), "train"))
+    users = models.user_vectors(als).select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "vector")
+    items = models.item_vectors(als).select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), "vector")
+    return users.unionByName(items)
+
+
+@query()
+def ranking_model(spark, sf_dir):
+    """Action probabilities of the validation candidates."""
+    log, train, users, items, features = _fit(spark, sf_dir)
+    fitted = models.fit_ranking(written(_labelled(log, train, features), "ranking-rows"))
+    scored = models.predict(_labelled(log, part(log, "val"), features), fitted)
+    return scored.select("sample_id", "cand_pos", "item_id", *ACTIONS, *[f"{a}_prob" for a in ACTIONS])
+
+
+@query()
+def two_stage_recommendations(spark, sf_dir):
+    """Vector retrieval, then ranking by predicted engagement."""
+    log, train, users, items, features = _fit(spark, sf_dir)
+    fitted = models.fit_ranking(written(_labelled(log, train, features), "ranking-rows"))
+    return models.two_stage(users, items, features, fitted, latest_rows(log), retrieve=50, show=10)
+
+
