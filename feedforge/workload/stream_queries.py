@@ -17,7 +17,7 @@ NOW = 1_706_572_800
 TEN_DAYS = 864_000
 
 STATE = f"""
-{INTERACTIONS}, deleted AS (SELECT DISTINCT l_partkey + 1 AS item_id FROM lineitem WHERE l_partkey < 200 AND l_returnflag = 'R' AND l_quantity = 50),
+{INTERACTIONS}, deleted AS (SELECT DISTINCT l_partkey + 1 AS item_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50),
 posts AS (SELECT *, row_id % 3 AS item_type FROM interactions WHERE item_id NOT IN (SELECT item_id FROM deleted)), state AS (
   SELECT user_id, item_id, ts_s, item_type, row_id AS arrival FROM posts
   QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts_s, row_id) = 1
@@ -31,7 +31,7 @@ def _posts(spark, sf_dir):
 
 
 def _deleted(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50 AND l_partkey < 200")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity = 50")
     return lines.select((F.col("l_partkey") + 1).alias("item_id")).distinct()
 
 
