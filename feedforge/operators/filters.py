@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.operators.segments import asc, top_n
+from feedforge.operators.segments import HOT_ROWS, asc, is_bounded, row_number, top_n
 
 ROW = ["request_id", "pos"]
 # Fixed value: two days.
@@ -57,21 +57,25 @@ def _flag(df: DataFrame, other: DataFrame, on: Sequence[str], flag: str) -> Data
     return df.join(keys, list(on), "left")
 
 
-def dedup(df: DataFrame, name: str = "dedup") -> DataFrame:
+def _nth(df: DataFrame, key: str, hot_rows: int, bounded: bool) -> DataFrame:
+    """Add ``_nth``: the place of a kept row among the kept rows of its request and ``key``.
+
+    Group sizes are checked without regard to earlier filters, so the check
+    reads only the key columns.
+    """
+    bounded = bounded or is_bounded(df, ["request_id", key], hot_rows)
+    alive = df.withColumn("_alive", F.col("removed_by").isNull())
+    return row_number(alive, ["request_id", key, "_alive"], [asc("pos")], "_nth", hot_rows, bounded=bounded)
+
+
+def dedup(df: DataFrame, name: str = "dedup", hot_rows: int = HOT_ROWS, bounded: bool = False) -> DataFrame:
     """Keep the first occurrence of an item in a request.
 
-    First positions are aggregated before the shuffle and joined back on the
-    row's own key, so many copies of one item do not meet in one task.
+    Very many copies of one item are cut into segments and do not meet in one
+    task. ``bounded`` states that requests are small, which spares the check.
     """
     df = with_removed_by(df)
-    firsts = (
-        df.where(F.col("removed_by").isNull())
-        .groupBy("request_id", "item_id")
-        .agg(F.min("pos").alias("pos"))
-        .withColumn("_first", F.lit(True))
-    )
-    joined = df.join(firsts, ["request_id", "item_id", "pos"], "left")
-    return mark(joined, F.col("_first").isNull(), name).select(df.columns)
+    return mark(_nth(df, "item_id", hot_rows, bounded), F.col("_nth") > 1, name).select(df.columns)
 
 
 def dedup_kept(df: DataFrame) -> DataFrame:
@@ -116,11 +120,13 @@ def seen(df: DataFrame, seen_items: DataFrame, name: str = "seen") -> DataFrame:
 
 def muted_keyword(df: DataFrame, keywords: Sequence[str], name: str = "muted_keyword") -> DataFrame:
     """Remove texts with any of the given keywords, whatever their case."""
-    text = F.lower(F.col("text"))
+    df = with_removed_by(df)
+    # A column of its own, so that each text is lowered once for all keywords.
+    lowered = df.withColumn("_text", F.lower("text"))
     hit = F.lit(False)
     for keyword in keywords:
-        hit = hit | text.contains(F.lower(F.lit(keyword)))
-    return mark(df, hit, name)
+        hit = hit | F.col("_text").contains(F.lower(F.lit(keyword)))
+    return mark(lowered, hit, name).select(df.columns)
 
 
 def muted_keyword_by_user(df: DataFrame, keywords: DataFrame, name: str = "muted_keyword") -> DataFrame:
@@ -139,6 +145,8 @@ def batch_filter(
     seen_items: DataFrame,
     now: int = 0,
     max_age: int = MAX_AGE_SECONDS,
+    hot_rows: int = HOT_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Dedup, age, blocked author, own item and seen item in one pass.
 
@@ -146,18 +154,12 @@ def batch_filter(
     rule. ``now=0`` means the clock.
     """
     df = with_removed_by(df)
-    first = (
-        df.where(F.col("removed_by").isNull())
-        .groupBy("request_id", "item_id")
-        .agg(F.min("pos").alias("pos"))
-        .withColumn("_first", F.lit(True))
-    )
-    flagged = df.join(first, ["request_id", "item_id", "pos"], "left")
+    flagged = _nth(df, "item_id", hot_rows, bounded)
     flagged = _flag(flagged, blocked, ["user_id", "author_id"], "_blocked")
     flagged = _flag(flagged, seen_items, ["user_id", "item_id"], "_seen")
     reason = (
         F.when(F.col("removed_by").isNotNull(), F.col("removed_by"))
-        .when(F.col("_first").isNull(), F.lit("dedup"))
+        .when(F.col("_nth") > 1, F.lit("dedup"))
         .when(_age_condition(_clock(now), max_age), F.lit("age"))
         .when(F.col("_blocked"), F.lit("blocked_author"))
         .when(F.col("author_id") == F.col("user_id"), F.lit("self_item"))
@@ -166,17 +168,22 @@ def batch_filter(
     return flagged.withColumn("removed_by", reason).select(df.columns)
 
 
-def category_cap(df: DataFrame, max_per_category: int = MAX_PER_CATEGORY, name: str = "category_cap") -> DataFrame:
-    """Keep the first rows of every category of a request.
-
-    The kept rows are found with a per-task limit before the shuffle; the rest
-    are marked by a join on the row key.
-    """
+def category_cap(
+    df: DataFrame,
+    max_per_category: int = MAX_PER_CATEGORY,
+    name: str = "category_cap",
+    hot_rows: int = HOT_ROWS,
+    bounded: bool = False,
+) -> DataFrame:
+    """Keep the first rows of every category of a request."""
     df = with_removed_by(df)
-    alive = df.where(F.col("removed_by").isNull()).select(*ROW, "category")
-    within = top_n(alive, ["request_id", "category"], [asc("pos")], max_per_category, "_n")
-    flagged = _flag(df, within, ROW, "_within")
-    return mark(flagged, F.col("_within").isNull(), name).select(df.columns)
+    placed = _nth(df, "category", hot_rows, bounded)
+    return mark(placed, F.col("_nth") > max_per_category, name).select(df.columns)
+
+
+def category_cap_kept(df: DataFrame, max_per_category: int = MAX_PER_CATEGORY) -> DataFrame:
+    """Only the rows :func:`category_cap` keeps; the limit acts before the shuffle."""
+    return top_n(df, ["request_id", "category"], [asc("pos")], max_per_category, "_nth").drop("_nth")
 
 
 def category_counts(df: DataFrame) -> DataFrame:

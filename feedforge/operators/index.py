@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,44 +38,72 @@ def shuffled_index(
     )
 
 
+# Rows of one level value that may be ordered by one task.
+SMALL = 1_000_000
+
+
 def order_statistics(
     df: DataFrame, order: list[str], levels: list[Column], positions: Mapping[str, Callable[[int], int]]
 ) -> dict[str, tuple | None]:
     """The order keys found at given 0-based positions of a total order.
 
-    ``levels`` refine the order from coarse to exact, ending in a unique one;
+    ``order`` names the columns of the order, ``levels`` refine it from coarse
+    to fine, each level splitting the rows of the one before into ranges;
     ``positions`` gives a position from the number of rows. Each level is one
     counting scan of the rows that can still hold a position, so no row is
-    shuffled and one row per position reaches the driver. A position past the
-    end has no key.
+    shuffled. Levels are skipped once few rows are left. The driver sees the
+    sizes of the coarsest level and then one row per position. A position past
+    the end has no key.
     """
     names = [f"_level{i}" for i in range(len(levels))]
     rows = df.select(*order, *[e.alias(n) for n, e in zip(names, levels)])
-    total = rows.count()
-    rest = {name: position(total) for name, position in positions.items()}
-    prefix: dict[str, tuple] = {name: () for name, at in rest.items() if 0 <= at < total}
-    for name in names:
-        last = name == names[-1]
-        for prior in sorted(set(prefix.values())):
-            here = rows
-            for at, value in zip(names, prior):
-                here = here.where(F.col(at) == value)
-            sizes = here.groupBy(name).agg(
-                F.count(F.lit(1)).alias("_n"), *([F.min(c).alias(f"_key_{c}") for c in order] if last else [])
+
+    coarse = sorted((r[0], r[1]) for r in rows.groupBy(names[0]).count().collect())
+    total = sum(n for _, n in coarse)
+    rest: dict[str, int] = {}
+    prefix: dict[str, dict] = {}
+    left = 0
+    for name, position in positions.items():
+        at = position(total)
+        for value, n in coarse:
+            if 0 <= at < n:
+                rest[name], prefix[name] = at, {names[0]: value}
+                left = max(left, n)
+                break
+            at -= n
+
+    todo = names[1:]
+    done = False
+    while prefix and not done:
+        # With few rows left the order itself is the next and last level.
+        done = left <= SMALL or not todo
+        level = order if done else [todo.pop(0)]
+        known = list(next(iter(prefix.values())))
+        near = _any(_equal(dict(values)) for values in {tuple(p.items()) for p in prefix.values()})
+        sizes = rows.where(near).groupBy(*known, *level).agg(F.count(F.lit(1)).alias("_n"))
+        until = F.sum("_n").over(Window.partitionBy(*known).orderBy(*level))
+        sizes = sizes.withColumn("_until", until)
+        inside = {n: (F.col("_until") - F.col("_n") <= rest[n]) & (F.col("_until") > rest[n]) for n in prefix}
+        found = sizes.where(_any(_equal(values) & inside[n] for n, values in prefix.items())).collect()
+        left = 0
+        for name, values in prefix.items():
+            row = next(
+                r
+                for r in found
+                if all(r[c] == v for c, v in values.items()) and r["_until"] - r["_n"] <= rest[name] < r["_until"]
             )
-            until = F.sum("_n").over(Window.orderBy(name))
-            sizes = sizes.withColumn("_until", until)
-            wanted = [n for n, p in prefix.items() if p == prior]
-            hit = F.lit(False)
-            for n in wanted:
-                hit = hit | ((F.col("_until") - F.col("_n") <= rest[n]) & (F.col("_until") > rest[n]))
-            for row in sizes.where(hit).collect():
-                begin = row["_until"] - row["_n"]
-                for n in wanted:
-                    if begin <= rest[n] < row["_until"]:
-                        prefix[n] = (*prior, row[name]) if not last else tuple(row[f"_key_{c}"] for c in order)
-                        rest[n] -= begin
-    return {name: prefix.get(name) for name in positions}
+            rest[name] -= row["_until"] - row["_n"]
+            left = max(left, row["_n"])
+            prefix[name] = {c: row[c] for c in order} if done else {**values, level[0]: row[level[0]]}
+    return {name: tuple(prefix[name][c] for c in order) if name in prefix else None for name in positions}
+
+
+def _equal(values: Mapping[str, object]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c) == v for c, v in values.items()])
+
+
+def _any(conditions) -> Column:
+    return reduce(lambda a, b: a | b, list(conditions))
 
 
 def before_key(order: list[str], key: tuple | None) -> Column:

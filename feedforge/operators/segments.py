@@ -70,6 +70,16 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
     return None if hot.isEmpty() else hot
 
 
+def is_bounded(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """True when no group of ``keys`` is too large for one task.
+
+    Groups of more keys are smaller still, so one check can serve several
+    windows over the same rows.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return sizes.where(F.col("_rows") > hot_rows).isEmpty()
+
+
 def cut(
     df: DataFrame,
     keys: Sequence[str],

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from feedforge.operators.filters import chain, kept, removed, with_removed_by
 from feedforge.operators.ranking import first_ranks, top_k
 from feedforge.operators.scoring import score_chain
+from feedforge.session import written
 
 logger = logging.getLogger(__name__)
 
@@ -61,8 +62,10 @@ class CandidatePipeline:
 
     ``on_error='skip'`` leaves out a stage whose plan cannot be analysed, as
     ``'raise'`` does not. ``check_rows`` counts rows to reject a hydrator that
-    loses or adds some. ``materialize`` may write the scored rows once, since
-    several results read them.
+    loses or adds some. Candidates are read several times, by filters that
+    compare rows and by stages that act on some requests only. ``materialize``
+    therefore writes them to the shared folder after hydration and after the
+    filters; None leaves one lazy plan.
     """
 
     sources: Sequence[Stage] = ()
@@ -74,7 +77,7 @@ class CandidatePipeline:
     result_size: int = 50
     on_error: str = "skip"
     check_rows: bool = False
-    materialize: Callable[[DataFrame], DataFrame] | None = None
+    materialize: Callable[[DataFrame, str], DataFrame] | None = written
     _flags: list[str] = field(default_factory=list, init=False)
 
     def execute(self, requests: DataFrame) -> Result:
@@ -82,15 +85,16 @@ class CandidatePipeline:
         later = (*self.hydrators, *self.filters, *self.scorers, *([self.selector] if self.selector else []))
         self._flags = sorted({s.enable for s in later if s.enable})
         retrieved = self._fetch(requests)
-        candidates = self._hydrate(requests, retrieved)
-        candidates = self._filter(candidates)
-        candidates = self._score(candidates)
-        if self.materialize:
-            candidates = self.materialize(candidates)
-        selected = self._select(kept(candidates)).drop(*self._flags)
+        candidates = self._kept_once(self._hydrate(requests, retrieved), "hydrated")
+        candidates = self._kept_once(self._filter(candidates), "filtered")
+        scored = self._score(kept(candidates))
+        selected = self._select(scored).drop(*self._flags)
         self._effects(requests, selected)
         return Result(requests, retrieved.drop(*self._flags), removed(candidates).drop(*self._flags), selected)
 
+    def _kept_once(self, df: DataFrame, name: str) -> DataFrame:
+        return self.materialize(df, name) if self.materialize else df
+
     def _attempt(self, stage: Stage, build: Callable[[], DataFrame]) -> DataFrame | None:
         try:
             result = build()
@@ -153,18 +157,13 @@ class CandidatePipeline:
     def _score(self, candidates: DataFrame) -> DataFrame:
         if "score" not in candidates.columns:
             candidates = candidates.withColumn("score", F.lit(0.0))
-        alive = F.col("removed_by").isNull()
-        if not self.scorers:
-            return candidates
-        # Removed rows are not scored, so scorers that look at earlier rows skip them.
-        scored, gone = candidates.where(alive), candidates.where(~alive)
         for stage in self.scorers:
             result = self._attempt(
-                stage, lambda: self._on_enabled(stage, scored, lambda df: score_chain(df, [stage.run]))
+                stage, lambda: self._on_enabled(stage, candidates, lambda df: score_chain(df, [stage.run]))
             )
             if result is not None:
-                scored = result
-        return scored.unionByName(gone, allowMissingColumns=True)
+                candidates = result
+        return candidates
 
     def _select(self, candidates: DataFrame) -> DataFrame:
         def default(df: DataFrame) -> DataFrame:

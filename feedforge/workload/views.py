@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedforge.functions.draws import PRIME
-from feedforge.operators.segments import asc, desc, row_number
+from feedforge.operators.segments import asc, desc, is_bounded, row_number
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +101,9 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     ]
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return row_number(rows, ["request_id"], order, "pos").drop(*keys)
+    sizes = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey")
+    bounded = is_bounded(sizes, ["o_custkey"])
+    return row_number(rows, ["request_id"], order, "pos", bounded=bounded).drop(*keys)
 
 
 CANDIDATES = """
