@@ -21,34 +21,31 @@ CELLS_AT_ONCE = 4_000_000
 
 
 def pooled_vectors(
-    histories: DataFrame, items: DataFrame, key: str, history: str = "hist_items", decay: float | None = None
+    histories: DataFrame,
+    items: DataFrame,
+    key: str,
+    history: str = "hist_items",
+    decay: float | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """Mean of the item vectors of a history, or their decayed mean.
 
     ``items`` has (item_id, vector). Padding and items without a vector do not
-    count. With ``decay`` position ``i`` weighs ``decay ** i``. Histories are
-    bounded arrays, so the vectors gathered per row are bounded too. The
-    result has (key, vector); rows without any vector are absent.
+    count. With ``decay`` position ``i`` weighs ``decay ** i``. Every dimension
+    is one plain sum, so rows are added up before the shuffle. The result has
+    (key, vector); rows without any vector are absent. ``dim`` is read from
+    the first vector when it is not given.
     """
+    if dim is None:
+        first = items.select(F.size("vector")).first()
+        dim = first[0] if first else 0
     steps = histories.select(key, F.posexplode(history).alias("_at", "item_id")).where(F.col("item_id") > 0)
     weight = F.lit(1.0) if decay is None else F.pow(F.lit(decay), F.col("_at").cast("double"))
-    found = steps.join(items.select("item_id", "vector"), "item_id").withColumn("_weight", weight)
-    gathered = found.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_at", "_weight", "vector"))).alias("_steps")
-    )
-    total = F.aggregate("_steps", F.lit(0.0), lambda acc, s: acc + s["_weight"])
-    zeros = F.transform(F.element_at("_steps", 1)["vector"], lambda x: F.lit(0.0))
-
-    def add(acc: Column, s: Column) -> Column:
-        return F.zip_with(acc, s["vector"], lambda a, x: a + s["_weight"] * x.cast("double"))
-
-    summed = F.aggregate("_steps", zeros, add)
-    divisor = F.greatest(total, F.lit(1.0)) if decay is None else total
-    return (
-        gathered.withColumn("_sum", summed)
-        .withColumn("_total", divisor)
-        .select(key, F.transform("_sum", lambda x: x / F.col("_total")).alias("vector"))
-    )
+    found = steps.join(items.select("item_id", "vector"), "item_id").withColumn("_w", weight)
+    sums = [F.sum(F.col("_w") * F.get("vector", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)]
+    summed = found.groupBy(key).agg(F.sum("_w").alias("_total"), *sums)
+    divisor = F.greatest(F.col("_total"), F.lit(1.0)) if decay is None else F.col("_total")
+    return summed.select(key, F.array(*[F.col(f"_s{i}") / divisor for i in range(dim)]).alias("vector"))
 
 
 def _best_in_block(k: int):

@@ -27,6 +27,15 @@ WEIGHT_SCALE = 1_000_000
 START, STRIDE, REFILL = 1_000_001, 1_000_002, 1_000_003
 
 
+def _spread(samples: DataFrame) -> DataFrame:
+    """Sample keys spread evenly before each becomes many draws.
+
+    Two id columns are narrow and compress well, so one input split can hold
+    very many samples; the draws made from them are many times larger.
+    """
+    return samples.select("sample_id", "user_id").repartition("sample_id")
+
+
 def _steps(samples: DataFrame, first: int, stop: int | Column) -> DataFrame:
     """Samples repeated for the attempts ``first .. stop - 1``."""
     last = (F.lit(stop) if isinstance(stop, int) else stop).cast("bigint") - 1
@@ -35,9 +44,19 @@ def _steps(samples: DataFrame, first: int, stop: int | Column) -> DataFrame:
     return samples.withColumn("step", F.explode(steps))
 
 
-def _flag_positives(draws: DataFrame, positives: DataFrame) -> DataFrame:
-    """Add ``ok``: the drawn item is none of the user's positives."""
-    known = positives.select("user_id", "item_id").distinct().withColumn("_known", F.lit(True))
+def _known(positives: DataFrame) -> DataFrame:
+    """Distinct positives, written once for all rounds."""
+    return written(positives.select("user_id", "item_id").distinct(), "positives")
+
+
+def _indexed(pool: DataFrame, seed: int) -> DataFrame:
+    """Distinct pool items in a seeded order, written once for all rounds."""
+    return written(shuffled_index(pool.select("item_id").distinct(), "item_id", seed), "pool")
+
+
+def _flag_positives(draws: DataFrame, known: DataFrame) -> DataFrame:
+    """Add ``ok``: the drawn item is none of the user's known ones."""
+    known = known.withColumn("_known", F.lit(True))
     return draws.join(known, ["user_id", "item_id"], "left").withColumn("ok", F.col("_known").isNull()).drop("_known")
 
 
@@ -62,7 +81,7 @@ def _rounds(samples: DataFrame, n: int, stops: list[int], sample_round) -> DataF
     A round's result is written before the next one reads it twice, so no
     draw is repeated. Rounds end as soon as no sample is short.
     """
-    found = written(sample_round(_steps(samples.select("sample_id", "user_id"), 0, stops[0])), "negatives")
+    found = written(sample_round(_steps(_spread(samples), 0, stops[0])), "negatives")
     for begin, stop in zip(stops, stops[1:]):
         short = _short(found, n).withColumnRenamed("negatives", "_have")
         if stop <= begin or short.isEmpty():
@@ -83,9 +102,11 @@ def uniform_negatives(
     Items may repeat. Each sample makes at most ``10 n`` attempts.
     """
 
+    known = _known(positives)
+
     def one_round(steps: DataFrame) -> DataFrame:
         item = draw(F.col("sample_id"), seed, F.col("step"), pool_size)
-        return _first_accepted(_flag_positives(steps.withColumn("item_id", item), positives), n)
+        return _first_accepted(_flag_positives(steps.withColumn("item_id", item), known), n)
 
     return _rounds(samples, n, [2 * n, ATTEMPTS_PER_NEGATIVE * n], one_round)
 
@@ -128,11 +149,13 @@ def popularity_negatives(
     A draw is a point of the summed weights. Points and item ranges meet on
     equal cells of the line, one cell per item on average.
     """
+    frequencies = written(frequencies.select("item_id", "frequency"), "frequencies")
     weight = F.round(F.pow(F.col("frequency").cast("double"), F.lit(power)) * WEIGHT_SCALE).cast("bigint")
     sums = frequencies.agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("items"))
     total = sums.select("total").scalar()
     cell_width = sums.select((F.floor(F.col("total") / F.col("items")) + 1).cast("bigint")).scalar()
-    ranges = popularity_ranges(frequencies, power).where(F.col("hi") > F.col("lo"))
+    known = _known(positives)
+    ranges = written(popularity_ranges(frequencies, power), "ranges").where(F.col("hi") > F.col("lo"))
     cells = F.sequence(F.floor(F.col("lo") / cell_width), F.floor((F.col("hi") - 1) / cell_width))
     ranges = ranges.withColumn("_cell", F.explode(cells))
 
@@ -142,7 +165,7 @@ def popularity_negatives(
         drawn = steps.withColumn("_point", point).withColumn("_cell", F.floor(F.col("_point") / cell_width))
         inside = (F.col("_point") >= F.col("lo")) & (F.col("_point") < F.col("hi"))
         hits = drawn.join(ranges, "_cell").where(inside).drop("_cell", "_point", "lo", "hi")
-        return _first_accepted(_flag_positives(hits, positives), n)
+        return _first_accepted(_flag_positives(hits, known), n)
 
     found = _rounds(samples, n, [2 * n, ATTEMPTS_PER_NEGATIVE * n], one_round)
     return _with_every_sample(samples, found)
@@ -180,12 +203,11 @@ def pool_negatives(
     positives is built, which is no larger than their positives. When it has
     fewer than ``n`` items they repeat; when it is empty so is the result.
     """
-    pool = pool.select("item_id").distinct()
-    size = pool.count()
+    indexed, known = _indexed(pool, seed), _known(positives)
+    size = indexed.count()
     if size == 0:
         return _with_every_sample(samples, samples.select("sample_id", "user_id").limit(0).withColumn(
             "negatives", F.array().cast("array<bigint>")))
-    indexed = shuffled_index(pool, "item_id", seed)
     prime = next_prime(size)
     modulus = F.lit(prime).cast("bigint")
 
@@ -194,7 +216,7 @@ def pool_negatives(
         stride = F.lit(1) + F.pmod(mix(F.col("sample_id"), seed, STRIDE), modulus - F.lit(1))
         at = F.pmod(start + F.col("step") * stride, modulus)
         drawn = steps.withColumn("idx", at).join(indexed, "idx", "left").drop("idx")
-        flagged = _flag_positives(drawn, positives)
+        flagged = _flag_positives(drawn, known)
         return _first_accepted(flagged.withColumn("ok", F.col("ok") & F.col("item_id").isNotNull()), n)
 
     stops = [min(4 * n, prime), min(68 * n, prime)]
@@ -203,7 +225,7 @@ def pool_negatives(
     short = _short(found, n).select("sample_id", "user_id")
     if short.isEmpty():
         return found
-    left = _difference(short.select("user_id").distinct(), positives, indexed, size)
+    left = written(_difference(short.select("user_id").distinct(), known, indexed, size), "difference")
     left = row_number(left, ["user_id"], [asc("idx")], "_k", hot_rows)
     counts = left.groupBy("user_id").agg(F.count(F.lit(1)).alias("_left"))
     slots = short.join(counts, "user_id").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -216,7 +238,7 @@ def pool_negatives(
     return _with_every_sample(samples, _enough(found, n).unionByName(refilled))
 
 
-def _difference(users: DataFrame, positives: DataFrame, indexed: DataFrame, size: int) -> DataFrame:
+def _difference(users: DataFrame, known: DataFrame, indexed: DataFrame, size: int) -> DataFrame:
     """Pool items that are no positives of the given users, as (user_id, idx, item_id)."""
     block = 10_000
     blocks = F.sequence(F.lit(0), F.lit((size - 1) // block))
@@ -224,7 +246,7 @@ def _difference(users: DataFrame, positives: DataFrame, indexed: DataFrame, size
     begin = F.col("_block").cast("bigint") * block
     idx = F.explode(F.sequence(begin, F.least(begin + (block - 1), F.lit(size - 1).cast("bigint"))))
     pairs = spread.select("user_id", idx.alias("idx")).join(indexed, "idx")
-    return pairs.join(positives.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
+    return pairs.join(known, ["user_id", "item_id"], "left_anti")
 
 
 def slot_negatives(
@@ -236,20 +258,19 @@ def slot_negatives(
     first drawn. The pool must not be empty. Only open slots draw again; what
     a round found is written before the next one reads it.
     """
-    pool = pool.select("item_id").distinct()
-    indexed = shuffled_index(pool, "item_id", seed)
-    size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
+    indexed, known = _indexed(pool, seed), _known(positives)
+    size = indexed.count()
 
     def tries(slots: DataFrame, first: int, stop: int) -> DataFrame:
         attempt = F.explode(F.sequence(F.lit(first), F.lit(stop - 1)))
         drawn = slots.withColumn("try", attempt)
         step = F.col("try").cast("bigint") * n + F.col("slot")
         drawn = drawn.withColumn("idx", draw(F.col("sample_id"), seed, step, size)).join(indexed, "idx").drop("idx")
-        return _flag_positives(drawn, positives)
+        return _flag_positives(drawn, known)
 
     keys = ["sample_id", "user_id", "slot"]
     slot = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot")
-    first = written(tries(samples.select("sample_id", "user_id", slot), 0, 1).drop("try"), "slots")
+    first = written(tries(_spread(samples).select("sample_id", "user_id", slot), 0, 1).drop("try"), "slots")
     done = first.where("ok").select(*keys, "item_id")
     open_slots = first.where(~F.col("ok")).withColumnRenamed("item_id", "_first").drop("ok")
     for begin, stop in ((1, 9), (9, SLOT_TRIES + 1)):
@@ -272,15 +293,14 @@ def filled_negatives(
     samples: DataFrame, positives: DataFrame, pool: DataFrame, n: int, seed: int = 42
 ) -> DataFrame:
     """``n`` draws from ``pool``: up to ``5 n`` attempts avoid positives, the rest may hit them."""
-    pool = pool.select("item_id").distinct()
-    indexed = shuffled_index(pool, "item_id", seed)
-    size = pool.agg(F.count(F.lit(1)).alias("n")).scalar()
+    indexed, known = _indexed(pool, seed), _known(positives)
+    size = indexed.count()
 
     def drawn(steps: DataFrame) -> DataFrame:
         return steps.withColumn("idx", draw(F.col("sample_id"), seed, F.col("step"), size)).join(indexed, "idx").drop("idx")
 
     def one_round(steps: DataFrame) -> DataFrame:
-        return _first_accepted(_flag_positives(drawn(steps), positives), n)
+        return _first_accepted(_flag_positives(drawn(steps), known), n)
 
     def fill_round(steps: DataFrame) -> DataFrame:
         return _first_accepted(drawn(steps).withColumn("ok", F.lit(True)), n)

@@ -108,13 +108,19 @@ def with_history_block(
     table_size: int = TABLE_SIZE,
     log: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    stored_only: bool = False,
 ) -> DataFrame:
     """The four history arrays of every row.
 
     A stored history is used where a row has one, with clicks standing in for
     its unknown actions; else the latest interactions strictly before the row.
     ``log`` gives those interactions when ``df`` is only a part of the log.
+    ``stored_only`` uses stored histories for all rows and moves no row.
     """
+    if stored_only:
+        blocks = history_blocks(F.col("_steps"), length, num_hashes, table_size)
+        steps = F.slice(_prebuilt_steps(), 1, length)
+        return df.withColumn("_steps", steps).withColumns(blocks).drop("_steps")
     source = df if log is None else log
     prior = with_prior_history(source, length, ("item_id", *ACTIONS), "_prior", hot_rows)
     if log is not None:

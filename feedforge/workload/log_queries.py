@@ -27,7 +27,7 @@ WITH {SPLIT}, popular AS (
   SELECT item_id, n, row_number() OVER (ORDER BY n DESC, item_id) AS place FROM popular
 ), users AS (SELECT DISTINCT user_id FROM interactions),
 seen AS (SELECT DISTINCT user_id, item_id FROM split_log WHERE split = 'train')
-SELECT user_id, item_id, score, rank FROM (
+SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT u.user_id, p.item_id, CAST(p.n AS DOUBLE) AS score,
          row_number() OVER (PARTITION BY u.user_id ORDER BY p.place) AS rank
   FROM users u CROSS JOIN popular_rank p

@@ -142,17 +142,40 @@ FROM items""")
 def history_block(spark, sf_dir):
     """Padded history arrays of rows with a stored history, one row per slot."""
     log = with_stored_history(interactions(spark, sf_dir))
-    found = with_history_block(log, 10)
+    found = with_history_block(log, 10, stored_only=True)
     zipped = F.arrays_zip("history_item_hashes", "history_author_hashes", "history_surface", "history_actions")
-    rows = found.select("row_id", F.size("hist_items").alias("n"), F.posexplode(zipped).alias("slot", "h"))
-    stored = F.col("n") > 0
+    rows = found.select("row_id", F.posexplode(zipped).alias("slot", "h"))
     return rows.select(
         "row_id",
         "slot",
         F.col("h.history_item_hashes")[0].alias("item_hash"),
         F.col("h.history_author_hashes")[1].alias("author_hash"),
         F.col("h.history_surface").alias("surface"),
-        F.when(stored, F.col("h.history_actions")[0].cast("int")).otherwise(F.lit(0)).alias("click"),
+        F.col("h.history_actions")[0].cast("int").alias("click"),
+    )
+
+
+@query(f"""
+WITH {INTERACTIONS}, h AS (
+  SELECT i.row_id, p.item_id, p.click, p."like", row_number() OVER (PARTITION BY i.row_id ORDER BY p.ts_s DESC, p.row_id DESC) AS rn
+  FROM interactions i JOIN interactions p ON p.user_id = i.user_id AND p.ts_s < i.ts_s
+), slots AS (SELECT row_id, unnest(range(10)) AS slot FROM interactions)
+SELECT s.row_id, CAST(slot AS INTEGER) AS slot,
+  coalesce(((item_id * 2 * 2654435761) % 100000) + 1, 0) AS item_hash, coalesce(item_id % 16, 0) AS surface,
+  coalesce(click, 0) AS click, coalesce("like", 0) AS "like"
+FROM slots s LEFT JOIN h ON h.row_id = s.row_id AND rn = slot + 1""")
+def recorded_history_block(spark, sf_dir):
+    """Padded history arrays from the log itself, with recorded actions."""
+    found = with_history_block(interactions(spark, sf_dir), 10)
+    zipped = F.arrays_zip("history_item_hashes", "history_surface", "history_actions")
+    rows = found.select("row_id", F.posexplode(zipped).alias("slot", "h"))
+    return rows.select(
+        "row_id",
+        "slot",
+        F.col("h.history_item_hashes")[1].alias("item_hash"),
+        F.col("h.history_surface").alias("surface"),
+        F.col("h.history_actions")[0].cast("int").alias("click"),
+        F.col("h.history_actions")[1].cast("int").alias("like"),
     )
 
 

@@ -46,3 +46,17 @@ def test_rows_are_numbered_in_file_order(spark):
     numbered = logs.number_rows(spark.read.parquet(path))
     assert numbered.where(F.col("row_id") != F.col("id")).count() == 0
     assert "Exchange hash" not in numbered.select("id", "row_id")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_rows_are_numbered_across_splits_of_one_file(spark):
+    path = new_scratch_path(spark, "one-file")
+    rows = spark.range(200_000).select("id", F.xxhash64("id").alias("noise")).coalesce(1)
+    rows.write.option("parquet.block.size", 200_000).parquet(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 150_000)
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() > 3
+        assert logs.number_rows(scan).where(F.col("row_id") != F.col("id")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
