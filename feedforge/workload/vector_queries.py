@@ -71,14 +71,13 @@ def decayed_pooled_histories(spark, sf_dir):
 @query(f"""
 WITH e AS (SELECT vec_id, {DOUBLES} AS v FROM embeddings), s AS (
   SELECT a.vec_id AS user_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 9) AS score FROM e a CROSS JOIN e b
-) SELECT user_id, item_id, round(score, 6) + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM (
+) SELECT user_id, item_id, score + 0.0 AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20""")
 def corpus_top_k(spark, sf_dir):
     """Best 20 vectors for every vector, over all of them."""
     items = vectors(spark, sf_dir)
     users = items.withColumnRenamed("item_id", "user_id")
-    found = top_k_items(users, items, 20)
-    return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
+    return top_k_items(users, items, 20).withColumn("score", F.col("score") + F.lit(0.0))
 
 
 @query(f"""
@@ -91,11 +90,11 @@ dims AS (SELECT user_id, w, unnest(range(64)) AS dim, unnest(v) AS x FROM found)
 means AS (SELECT user_id, dim, sum(w * x) / sum(w) AS x FROM dims GROUP BY user_id, dim),
 users AS (SELECT user_id, list(x ORDER BY dim) AS v FROM means GROUP BY user_id),
 s AS (SELECT user_id, vec_id AS item_id, round(list_dot_product(users.v, e.v), 9) AS score FROM users CROSS JOIN e)
-SELECT user_id, item_id, round(score, 6) + 0.0 AS score FROM s
+SELECT user_id, item_id, score + 0.0 AS score FROM s
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) <= 10""")
 def vector_candidates(spark, sf_dir):
     """Candidates for each user from the decayed mean of its latest history."""
     log = with_stored_history(interactions(spark, sf_dir))
     users = pooled_vectors(latest_rows(log), vectors(spark, sf_dir), "user_id", decay=0.9)
     found = top_k_items(users, vectors(spark, sf_dir), 10)
-    return found.select("user_id", "item_id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+    return found.select("user_id", "item_id", (F.col("score") + F.lit(0.0)).alias("score"))
