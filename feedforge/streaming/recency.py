@@ -115,23 +115,30 @@ STATE_SCHEMA = "items array<struct<item_id:bigint,ts_s:bigint,item_type:tinyint,
 OUTPUT_SCHEMA = "user_id bigint, version bigint, " + STATE_SCHEMA
 
 
-def _state_step(cap: int, retention: int):
+def _state_step(cap: int):
+    """The state function; it carries all it needs, so workers need not have this package."""
+    names = ("item_id", "ts_s", "item_type", "arrival")
+
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (user,) = key
-        line = OrderedDict((i["item_id"], i) for i in _items(state))
+        stored = state.get[0] if state.exists else []
+        line = OrderedDict()
+        for item in stored:
+            values = item if isinstance(item, dict) else dict(zip(names, item))
+            line[values["item_id"]] = values
         arrived = list(chunks)
         if arrived:
             rows = pd.concat(arrived).sort_values(["ts_s", "row_id"])
             columns = [rows[c].tolist() for c in ("item_id", "ts_s", "item_type", "row_id")]
-            for item, ts, kind, row in zip(*columns):
-                if item not in line:
-                    line[item] = {"item_id": item, "ts_s": ts, "item_type": kind, "arrival": row}
+            for values in zip(*columns):
+                if values[0] not in line:
+                    line[values[0]] = dict(zip(names, values))
                     if len(line) > cap:
                         line.popitem(last=False)
         watermark = state.getCurrentWatermarkMs()
         kept = [i for i in line.values() if i["ts_s"] * 1000 >= watermark]
         if kept:
-            state.update(([tuple(i[c] for c in ("item_id", "ts_s", "item_type", "arrival")) for i in kept],))
+            state.update(([tuple(i[c] for c in names) for i in kept],))
             state.setTimeoutTimestamp(max(min(i["ts_s"] for i in kept) * 1000 + 1, watermark + 1))
         else:
             state.remove()
@@ -140,14 +147,6 @@ def _state_step(cap: int, retention: int):
     return run
 
 
-def _items(state: GroupState) -> list[dict]:
-    if not state.exists:
-        return []
-    (items,) = state.get
-    names = ("item_id", "ts_s", "item_type", "arrival")
-    return [{n: i[n] for n in names} if hasattr(i, "asDict") or isinstance(i, dict) else dict(zip(names, i)) for i in items]
-
-
 def recency_stream(
     events: DataFrame, deleted: DataFrame | None = None, cap: int = CAP, retention: int = RETENTION_SECONDS
 ) -> DataFrame:
@@ -162,26 +161,39 @@ def recency_stream(
     rows = events.withWatermark("ts", f"{retention} seconds")
     rows = without_deleted(rows, deleted)
     return rows.groupBy("user_id").applyInPandasWithState(
-        _state_step(cap, retention), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout
+        _state_step(cap), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def start_snapshot_sink(stream: DataFrame, path: str, checkpoint: str, **trigger):
+def start_snapshot_sink(
+    stream: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None, **trigger
+):
     """Write every micro-batch's timelines below ``path`` under its batch id.
 
-    A micro-batch that runs again replaces its own folder.
+    A micro-batch that runs again replaces its own folder. The number of state
+    partitions is fixed by a stream's first start: ``state_partitions`` or the
+    session's shuffle width.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
+    writer = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
-        .start()
     )
+    if state_partitions is None:
+        return writer.start()
+    # A started query keeps its own copy of the settings.
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, state_partitions)
+    try:
+        return writer.start()
+    finally:
+        conf.set(name, before)
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:

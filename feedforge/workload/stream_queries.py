@@ -97,7 +97,8 @@ def recency_stream(spark, sf_dir):
     """The event file as a stream through keyed state; one year of retention keeps everything."""
     state, checkpoint = new_scratch_path(spark, "recency"), new_scratch_path(spark, "recency-checkpoint")
     stream = recency.recency_stream(_post_stream(spark, sf_dir), _deleted(spark, sf_dir), retention=31_536_000)
-    recency.start_snapshot_sink(stream, state, checkpoint).awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    recency.start_snapshot_sink(stream, state, checkpoint, state_partitions=cores).awaitTermination()
     return recency.latest_snapshot(spark, state)
 
 
