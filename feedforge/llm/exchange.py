@@ -48,7 +48,7 @@ def parts_for(size: int, each: int, least: int = 12) -> int:
 
 def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray:
     """A bitmap of ``keys`` (long): combined on the executors, at most 2**bits / 64 rows reach the driver."""
-    place = F.shiftrightunsigned(F.col(key), 64 - bits).alias("place")
+    place = F.shiftrightunsigned(F.col(key), 8).bitwiseAND((1 << bits) - 1).alias("place")
     words = keys.select(place).select(
         F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
     )
@@ -60,7 +60,7 @@ def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> np.ndarray
 
 def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of ``keys`` (uint64) the filter lets through."""
-    place = keys >> np.uint64(64 - (int(len(bitmap)).bit_length() - 1 + 6))
+    place = (keys >> np.uint64(8)) & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedforge.llm import packing, token_files
+from feedforge.llm import packing, quality, similarity, token_files
 from feedforge.session import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and adaptive verdict per document."""
+    return quality.scores(documents(spark, sf_dir))
+
+
 @query()
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as ORC and read back."""
@@ -40,3 +46,9 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 ids."""
     return packing.piece_digests(packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query()
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of linked texts per document."""
+    return similarity.similar_texts(documents(spark, sf_dir))
