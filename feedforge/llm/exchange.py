@@ -6,7 +6,7 @@ A filter only ever lets too much through, so results do not depend on it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedforge.llm.words import chunks, mixed
+
 #: Bits of a key filter: 2 MB, whatever the input.
 FILTER_BITS = 24
 
@@ -69,3 +71,39 @@ def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     made = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(made, schema=schema)
 
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row``, a number that every scan of the same table gives the same row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
+
+
+def block_of(rows: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(rows.astype(np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
+def text_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """Whole rows of :func:`numbered` dealt evenly to ``blocks`` groups: (block, data), many compressed rows in each."""
+    schema = pa.schema([("block", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for chunk in chunks(batches, limit=8 << 20):
+            rows = chunk.batch.slice(chunk.first, len(chunk))
+            order, bounds = by_part(block_of(rows.column("row").to_numpy(), blocks), blocks)
+            found, data = [], []
+            for block in np.flatnonzero(np.diff(bounds)):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                    out.write_batch(rows.take(pa.array(order[bounds[block] : bounds[block + 1]])))
+                found.append(block)
+                data.append(sink.getvalue().to_pybytes())
+            yield record_batch(schema, [found, data])
+
+    return rows.mapInArrow(run, "block long, data binary")
+
+
+def texts_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows that :func:`text_blocks` put into the rows of ``table``."""
+    for data in table.column("data"):
+        yield from pa.ipc.open_stream(data.as_buffer())

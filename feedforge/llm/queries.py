@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedforge.llm import packing, quality, similarity, token_files
+from feedforge.llm import decontamination, language_model, packing, pii, quality, repeats, similarity, token_files
 from feedforge.session import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,28 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of linked texts per document."""
     return similarity.similar_texts(documents(spark, sf_dir))
+
+
+@query()
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and maximum-entropy scores per document."""
+    return language_model.scores(documents(spark, sf_dir))
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    found = decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("row")
+
+
+@query()
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data per document: counts and digest of the fixed patterns, and all spans."""
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+@query()
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed as repeats per document, with a digest of the rest."""
+    return repeats.removal_digests(documents(spark, sf_dir))
