@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from feedforge.llm import decontamination, language_model, packing, pii, quality, repeats, similarity, token_files
+from feedforge.llm import (
+    decontamination,
+    language_model,
+    licenses,
+    packing,
+    pii,
+    quality,
+    repeats,
+    similarity,
+    token_files,
+    warc,
+)
 from feedforge.session import new_scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +88,15 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed as repeats per document, with a digest of the rest."""
     return repeats.removal_digests(documents(spark, sf_dir))
+
+
+@query(licenses.ORACLE_SQL)
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts in documents."""
+    return licenses.licensed(documents(spark, sf_dir))
+
+
+@query(warc.ORACLE_SQL)
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of pages, written as WARC and read back."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_scratch_path(spark, "warc"))
