@@ -26,10 +26,11 @@ def recent_items(df: DataFrame, max_len: int = MAX_HISTORY) -> DataFrame:
     return top_n(df, ["user_id"], [desc("ts_s"), desc("row_id")], max_len, "recency")
 
 
-def user_histories(df: DataFrame, max_len: int = MAX_HISTORY) -> DataFrame:
-    """Latest ``max_len`` interactions of every user as one array, oldest first."""
+def user_histories(df: DataFrame, max_len: int | None = MAX_HISTORY) -> DataFrame:
+    """Latest ``max_len`` interactions of every user as one array, oldest first; all of them for None."""
     steps = F.sort_array(F.collect_list(F.struct(*STEP_FIELDS)))
-    return recent_items(df, max_len).groupBy("user_id").agg(steps.alias("history"))
+    rows = df if max_len is None else recent_items(df, max_len)
+    return rows.groupBy("user_id").agg(steps.alias("history"))
 
 
 def latest_rows(df: DataFrame) -> DataFrame:

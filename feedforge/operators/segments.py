@@ -44,8 +44,12 @@ class Order:
         return F.col(self.column).desc() if self.descending else F.col(self.column).asc()
 
     def ascending_key(self) -> Column:
-        """The column turned so that ascending comparison gives this order."""
-        return -F.col(self.column) if self.descending else F.col(self.column)
+        """The column turned so that ascending comparison gives this order, NULL and NaN included."""
+        column = F.col(self.column)
+        if not self.descending:
+            return column
+        nan = F.coalesce(F.isnan(column.cast("double")), F.lit(False))
+        return F.struct(column.isNull().alias("null"), (~nan).alias("number"), F.when(~nan, -column).alias("value"))
 
 
 def asc(column: str) -> Order:

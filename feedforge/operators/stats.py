@@ -108,8 +108,9 @@ def min_max_normalize(df: DataFrame, column: str, name: str, keys: Sequence[str]
     value = F.nanvl(F.col(column), F.lit(None).cast("double"))
     low, high = F.min(value).alias("_low"), F.max(value).alias("_high")
     if keys:
-        bounds = df.groupBy(*keys).agg(low, high)
-        df = df.join(bounds, list(keys))
+        bounds = df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(low, high)
+        same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        df = df.join(bounds, same).drop(*(f"_key_{k}" for k in keys))
         first, last = F.col("_low"), F.col("_high")
     else:
         bounds = df.agg(low, high)

@@ -121,7 +121,8 @@ class CandidatePipeline:
         if merged is None:
             raise ValueError("no source gave candidates")
         if self._flags:
-            merged = merged.join(requests.select("request_id", *self._flags), "request_id")
+            flags = (F.coalesce(F.col(f), F.lit(False)).alias(f) for f in self._flags)
+            merged = merged.join(requests.select("request_id", *flags), "request_id")
         return merged
 
     def _on_enabled(self, stage: Stage, df: DataFrame, act: Callable[[DataFrame], DataFrame]) -> DataFrame:

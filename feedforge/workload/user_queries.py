@@ -81,7 +81,7 @@ WITH {INTERACTIONS}, hist AS (
 def histories_for_users(spark, sf_dir):
     """Histories of every customer; most have none."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    found = histories.histories_for(users, histories.user_histories(interactions(spark, sf_dir)))
+    found = histories.histories_for(users, histories.user_histories(interactions(spark, sf_dir), None))
     return found.select("user_id", joined_text(F.transform("history", lambda s: s["item_id"])).alias("items"))
 
 

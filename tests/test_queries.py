@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entries
 from compare import connect, rows_of
 
+from feedforge.workload import QUERIES, SQL
+
 ROWS_ONLY = {"retrieval_model", "ranking_model", "two_stage_recommendations"}
 
 
@@ -28,7 +30,7 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 
 
 def test_only_models_have_no_sql():
-    assert set(entries.queries()) - set(entries.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
 
 
 def test_probabilities_of_the_ranking_model(spark, sf_dir):

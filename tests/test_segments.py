@@ -56,3 +56,13 @@ def test_top_n_limits_before_the_shuffle(rows):
     assert best.groupBy("g").count().where("count <> 3").count() == 0
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_cut_groups_place_null_and_nan_like_plain_windows(spark):
+    rows = [(1, i, [None, float("nan"), 0.0, -0.0, float(i % 5), -1.5][i % 6]) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, pos long, score double")
+    for first in (desc("score"), asc("score")):
+        order = [first, asc("pos")]
+        plain = {r.pos: r["rank"] for r in row_number(df, ["g"], order, "rank").collect()}
+        cut = {r.pos: r["rank"] for r in row_number(df, ["g"], order, "rank", hot_rows=2, cuts=7).collect()}
+        assert cut == plain
