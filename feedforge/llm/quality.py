@@ -201,3 +201,68 @@ def scores(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
     return judged(measured(docs)).filter("kept").select(*docs.columns)
+
+
+_SQL_RATES = ", ".join(f"('{n}', {s})" for n, s in SLACK.items())
+_SQL_BOUNDS = ", ".join(f"max(bound) filter (rate = '{n}') as {n}" for n in SLACK)
+_SQL_WITHIN = " and ".join(f"m.{n} <= b.{n}" for n in SLACK)
+_SQL_LONG = " union all ".join(f"select lang, source, '{n}' as rate, {n} as v from rates where not base_failed" for n in SLACK)
+
+
+def _sql_quantiles(*keys: str) -> str:
+    by = ", ".join([*keys, "rate"])
+    return f"""
+  select {by}, max(total) as docs, min(bucket) filter (100 * upto >= 50 * total) as middle,
+    min(bucket) filter (100 * upto >= 10 * total) as low
+  from (select {by}, bucket, sum(sum(n)) over (partition by {by} order by bucket) as upto,
+      sum(sum(n)) over (partition by {by}) as total
+    from sketch group by {by}, bucket) group by {by}"""
+
+
+ORACLE_SQL = rf"""
+with split as (
+  select row_number() over () as r, doc_id, lang, source, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{SPACE}', '', 'g') <> '') as lines
+  from documents),
+windows as (
+  select r, unnest(g) as g, generate_subscripts(g, 1) as i
+  from (select r, list_transform(range(1, len(words) - {WINDOW - 2}), lambda i: array_to_string(words[i : i + {WINDOW - 1}], ' ')) as g
+    from split)),
+places as (select r, i from (select r, i, count(*) over (partition by r, g) as c from windows) where c > 1),
+repeated as (
+  select r, sum(least(coalesce(following - i, {WINDOW}), {WINDOW})) as n
+  from (select r, i, lead(i) over (partition by r order by i) as following from places) group by r),
+counted as (
+  select s.r, doc_id, lang, source, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(lines) as n_lines,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(p.n, 0)::bigint as n_repeat_words,
+    length(regexp_replace(t, '[^!?]+', '', 'g')) as marks, length(regexp_replace(t, '[^A-Z]+', '', 'g')) as capitals
+  from split s left join repeated p on s.r = p.r),
+rates as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    coalesce(1000 * n_symbols // nullif(n_words, 0), 0) as symbol_rate,
+    coalesce(1000 * marks // nullif(n_words, 0), 0) as mark_rate,
+    coalesce(1000 * capitals // nullif(word_chars, 0), 0) as capital_rate,
+    coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) as dup_line_rate
+  from counted),
+long as ({_SQL_LONG}),
+sketch as (
+  select lang, source, rate, v - v % (1::bigint << greatest(length(bin(v)) - 6, 0)) as bucket, count(*) as n
+  from long group by all),
+by_source as ({_sql_quantiles("lang", "source")}),
+by_lang as ({_sql_quantiles("lang")}),
+overall as ({_sql_quantiles()}),
+chosen as (
+  select s.lang, s.source, s.rate, case when s.docs >= {LEAST} then [s.middle, s.low]
+    when l.docs >= {LEAST} then [l.middle, l.low] else [o.middle, o.low] end as q
+  from by_source s join by_lang l on s.lang is not distinct from l.lang and s.rate = l.rate join overall o on s.rate = o.rate),
+bounds as (
+  select lang, source, {_SQL_BOUNDS}
+  from (select lang, source, rate, q[1] + {SPREAD} * (q[1] - q[2]) + slack as bound
+    from chosen join (values {_SQL_RATES}) k(rate, slack) using (rate))
+  group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce({_SQL_WITHIN}, false) as kept, {", ".join(f"m.{n}" for n in SLACK)}
+from rates m left join bounds b on m.lang is not distinct from b.lang and m.source is not distinct from b.source
+"""

@@ -39,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@query()
+@query(quality.ORACLE_SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and adaptive verdict per document."""
     return quality.scores(documents(spark, sf_dir))
