@@ -34,11 +34,18 @@ REWRITES = (
 )
 
 
+#: Forms of some rewrites with the same results that leave single blanks and line ends alone.
+SPARING = {r"[ \t\r\f]+": r"[ \t\r\f]{2,}|[\t\r\f]", r" ?\n[ \n]*": r" \n[ \n]*|\n[ \n]+"}
+
+
 def plain_text(html: Column) -> Column:
     out = html
     for pattern, by in REWRITES:
-        out = F.regexp_replace(out, pattern, by)
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+        if pattern.startswith("&"):
+            out = F.replace(out, F.lit(pattern), F.lit(by))
+        else:
+            out = F.regexp_replace(out, SPARING.get(pattern, pattern), by)
+    return F.regexp_replace(out, r"\A[ \n]|[ \n]\z", "")  # by now no two of these stand together
 
 
 def record_id(kind: str, *parts: Column) -> Column:
