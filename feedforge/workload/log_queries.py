@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedforge.functions.coerce import finalize_int, safe_float, safe_int
-from feedforge.operators import filters, ranking, split, stats
+from feedforge.operators import split, stats
+from feedforge.operators.segments import asc, desc, row_number, top_n
 from feedforge.plans.datasets import training_items
-from feedforge.session import new_scratch_path
+from feedforge.session import new_scratch_path, written
 from feedforge.sources import logs, tables
 from feedforge.workload.registry import query
 from feedforge.workload.views import INTERACTIONS, SPLIT, interactions, table
@@ -31,24 +32,46 @@ SELECT user_id, item_id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT u.user_id, p.item_id, CAST(p.n AS DOUBLE) AS score,
          row_number() OVER (PARTITION BY u.user_id ORDER BY p.place) AS rank
   FROM users u CROSS JOIN popular_rank p
-  WHERE p.place <= 100 AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)
 ) WHERE rank <= 10"""
 
 
+def popular_unseen(train, users, k=10, first=100):
+    """The ``k`` most popular items of ``train`` that each user has not met, whatever the user has met.
+
+    The ``first`` most popular items serve all users; they travel as one array. Only users who met so many of these that
+    fewer than ``k`` remain look further: their best lie among as many places as they met items, and ``k`` more.
+    """
+    seen = train.select("user_id", "item_id").distinct()
+    best = stats.popular_items(train, first)
+    listed = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "item_id", "n"))).alias("items"))
+    met = seen.join(best.select("item_id"), "item_id", "left_semi").groupBy("user_id")
+    met = users.join(met.agg(F.collect_set("item_id").alias("met")), "user_id", "left").withColumn("items", listed.scalar())
+    left = F.filter("items", lambda i: F.col("met").isNull() | ~F.array_contains("met", i["item_id"]))
+    served = written(met.select("user_id", left.alias("left")), "served")
+    enough = F.size("left") >= k
+    near = served.filter(enough).select("user_id", F.posexplode(F.slice("left", 1, k)).alias("at", "i")).select(
+        "user_id", "i.item_id", F.col("i.n").cast("double").alias("score"), (F.col("at") + 1).alias("rank")
+    )
+    short = served.filter(~enough).select("user_id")
+    if short.isEmpty():
+        return near
+    depth = short.join(seen, "user_id", "left").groupBy("user_id").agg((F.count("item_id") + k).alias("depth"))
+    placed = row_number(stats.item_popularity(train), [], [desc("n"), asc("item_id")], "place")
+    offered = depth.select("user_id", F.explode(F.sequence(F.lit(1), F.col("depth").cast("int"))).alias("place"))
+    unmet = offered.join(placed, "place").join(seen, ["user_id", "item_id"], "left_anti")
+    far = top_n(
+        unmet.select("user_id", "item_id", F.col("n").cast("double").alias("score"), "place"), ["user_id"], [asc("place")], k
+    )
+    return near.unionByName(far.select("user_id", "item_id", "score", "rank"))
+
+
 @query(POPULAR_UNSEEN)
 def popular_unseen_items(spark, sf_dir):
     """Most popular training items each user has not met, best ten per user."""
     log = split.temporal_split(interactions(spark, sf_dir))
     train = split.part(log, "train")
-    best = stats.popular_items(train, 100).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "item_id", "n"))).alias("items")
-    )
-    users = log.select("user_id").distinct()
-    offered = users.select("user_id", F.posexplode(best.scalar()).alias("pos", "item")).select(
-        F.col("user_id").alias("request_id"), "user_id", "pos", "item.item_id", F.col("item.n").cast("double").alias("score")
-    )
-    unseen = filters.kept(filters.seen(offered, train.select("user_id", "item_id")))
-    return ranking.top_k(unseen, 10).select("user_id", "item_id", "score", "rank")
+    return popular_unseen(train, log.select("user_id").distinct())
 
 
 def _messy_csv(spark, sf_dir):

@@ -61,3 +61,25 @@ def test_split_moves_no_rows(log):
     plan = temporal_split(log.select("*"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hash" not in plan.split("InMemory")[0] and "Window" not in plan.split("InMemory")[0]
     assert F is not None
+
+
+def test_popular_items_for_users_who_met_the_popular_ones(spark):
+    from feedforge.workload.log_queries import popular_unseen
+
+    rows = [(u, i) for i in range(40) for u in range(100, 140 - i // 2)]
+    rows += [(1, i) for i in range(33)] + [(2, i) for i in range(40)] + [(3, 0), (3, 0), (4, 39)]
+    train = spark.createDataFrame(rows, "user_id long, item_id long")
+    users = train.select("user_id").distinct().union(spark.createDataFrame([(5,)], "user_id long"))
+    met, n = {}, {}
+    for u, i in rows:
+        met.setdefault(u, set()).add(i)
+        n[i] = n.get(i, 0) + 1
+    order = sorted(n, key=lambda i: (-n[i], i))
+    wanted = set()
+    for u in {u for u, _ in rows} | {5}:
+        rest = [i for i in order if i not in met.get(u, set())][:5]
+        wanted |= {(u, i, float(n[i]), at) for at, i in enumerate(rest, 1)}
+    for first in (5, 12, 100):
+        got = [tuple(r) for r in popular_unseen(train, users, 5, first).collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    assert popular_unseen(train.limit(0), users.limit(0)).count() == 0
