@@ -209,6 +209,71 @@ def test_contamination(spark):
     assert left.columns == [c.split()[0] for c in COLUMNS.split(", ")] and {2, 3} <= {r.doc_id for r in left.collect()}
 
 
+def items(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+
+
+def test_contamination_adds_up_over_slots_of_other_length(spark):
+    own = [f"w{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(36)]
+    own[12], own[24] = "Anna", "Bertha"
+    longer = " ".join(own).replace("Anna", "Clara Maria").replace("Bertha", "Dora Luise")
+    speed = "a car drove 5 km along the old road and then 12 km along the new road until it stopped"
+    dropped = " ".join(x for i, x in enumerate(own) if i not in (10, 20, 30))
+    inserted = " ".join(x + " also" * (i % 12 == 11) for i, x in enumerate(own))
+    benchmark = items(spark, [" ".join(own), speed])
+    some = [(0, longer), (1, speed.replace("5 km", "7km").replace("12 km", "9km")), (2, dropped), (3, inserted), (4, " ".join(own[::-1]))]
+    got = {(r.doc_id, r.item_id): (r.n_words, r.n_matched, r.exact) for r in decontamination.contaminated(table(spark, some), benchmark).collect()}
+    assert got == {(0, 0): (36, 36, False), (1, 1): (20, 20, False), (2, 0): (36, 28, True), (3, 0): (36, 36, True)}
+
+
+def test_contamination_drops_only_windows_of_inconsistent_slots(spark):
+    own = [f"w{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(36)]
+    own[3], own[30] = "5", "5"
+    changed = [*own[:30], "9", *own[31:]]
+    both = [*own[:3], "7", *own[4:30], "9", *own[31:]]
+    some = [(0, " ".join(changed)), (1, " ".join(both)), (2, " ".join(own).replace("5", "7"))]
+    found = decontamination.contaminated(table(spark, some), items(spark, [" ".join(own)])).collect()
+    got = {r.doc_id: (r.n_matched, r.exact) for r in found}
+    assert got == {0: (30, True), 1: (30, False), 2: (36, False)}
+
+
+def test_contamination_against_brute_force(spark):
+    draw = random.Random(7)
+    vocabulary = [f"w{chr(97 + i)}" for i in range(12)]
+    made = [[draw.choice(vocabulary) for _ in range(draw.randint(3, 40))] for _ in range(12)]
+    some = []
+    for n in range(60):
+        text = list(draw.choice(made))
+        for _ in range(draw.choice([0, 1, 2, 4])):
+            at = draw.randrange(len(text))
+            text[at : at + draw.choice([0, 1])] = [draw.choice(vocabulary)] * draw.choice([0, 1, 2])
+            text = text or ["wa"]
+        some.append((n, " ".join([draw.choice(vocabulary) for _ in range(draw.randint(0, 9))] + text)))
+
+    def covered(item, doc):
+        width, near = min(8, len(item)), max(8, len(item) // 2)
+        pairs = {
+            (i + k, j + k)
+            for i in range(len(item) - width + 1)
+            for j in range(len(doc) - width + 1)
+            if item[i : i + width] == doc[j : j + width]
+            for k in range(width)
+        }
+        best = {}
+        for i, j in sorted(pairs):
+            best[i, j] = 1 + max((n for (x, y), n in best.items() if x < i and y < j and abs((j - y) - (i - x)) <= near), default=0)
+        return max(best.values(), default=0)
+
+    want = {}
+    for doc, text in some:
+        for i, item in enumerate(made):
+            n = covered(item, text.split())
+            if n and (2 * n >= len(item) or n >= 25):
+                want[doc, i] = n
+    found = decontamination.contaminated(table(spark, some), items(spark, [" ".join(x) for x in made])).collect()
+    assert {(r.doc_id, r.item_id): r.n_matched for r in found} == want and all(r.exact for r in found)
+
+
 def test_personal_data(spark):
     field = train(labelled_sentences(spark))
     card = "4465758382889437"
