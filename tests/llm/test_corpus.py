@@ -274,6 +274,14 @@ def test_contamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.n_matched for r in found} == want and all(r.exact for r in found)
 
 
+def test_contamination_finds_copies_without_literal_words(spark):
+    made = ["Compute 12 + 30 - 5 * 7 / 2 + 11 - 4 + 9", "17 + 40", "Paris, Rome, Oslo, Bern, Wien, Lima, Kiew, Riga, Prag", "Anna Bell"]
+    some = [(i, f"and so by Mary {text} Smith km") for i, text in enumerate(made)]
+    some.append((9, "and so by Mary compute 13 + 31 - 6 * 8 / 3 + 12 - 5 + 10 or 17 - 41 or Anna Boll"))
+    found = decontamination.contaminated(table(spark, some), items(spark, made)).collect()
+    assert {(r.doc_id, r.item_id, r.n_matched == r.n_words, r.exact) for r in found} == {(i, i, True, True) for i in range(4)}
+
+
 def test_personal_data(spark):
     field = train(labelled_sentences(spark))
     card = "4465758382889437"
