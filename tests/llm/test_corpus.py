@@ -131,6 +131,16 @@ def test_similar_texts(spark, rows, frequent):
     assert Counter(map(tuple, similarity.similar_texts(table(spark, some), frequent=frequent).collect())) == want
 
 
+def test_one_of_each_group_with_repeated_and_null_ids(spark):
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    some = [(7, one), (7, one), (7, two), (3, f"{two} more"), (None, three), (None, three), (9, four), (None, four)]
+    some += [(None, None), (5, ""), (5, "")]
+    left = similarity.one_of_each_group(table(spark, some))
+    assert left.columns == [c.split()[0] for c in COLUMNS.split(", ")]
+    want = [(7, one), (3, f"{two} more"), (None, three), (9, four), (None, None), (5, ""), (5, "")]
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(want)
+
+
 def test_repeats(spark, rows):
     some = [*rows, (None, rows[20][1])]
     seen, want = set(), []
