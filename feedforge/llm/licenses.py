@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,86 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
-#: Rewrites in order, in a syntax that Java and RE2 read alike: copyright lines, spellings, punctuation, spaces.
-REWRITES = (
+_BSD_2 = """\
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_BSD_3 = """\
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+_BSD_WARRANTY = """\
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+_APACHE_NOTICE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with '
+    "the License. You may obtain a copy of the License at"
+)
+_GNU_NOTICE = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the "
+    "Free Software Foundation; either version {} of the License, or (at your option) any later version."
+)
+_GNU = (
+    ("GPL-2.0-or-later", "program", "General Public License", "2"),
+    ("GPL-3.0-or-later", "program", "General Public License", "3"),
+    ("LGPL-2.1-or-later", "library", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0-or-later", "library", "Lesser General Public License", "3"),
+    ("AGPL-3.0-or-later", "program", "Affero General Public License", "3"),
+)
+_MPL_NOTICE = (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at {}://mozilla.org/MPL/2.0/."
+)
+#: Ends the terms in a licence's file; copies often leave out what follows.
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _published() -> tuple[tuple[str, str], ...]:
+    """Full licence texts as published, with and without what follows the terms, and standard notices.
+
+    A text is also listed on one line, since a copyright line inside it is only told by where the line begins.
+    """
+    texts = [("BSD-2-Clause", _BSD_2 + _BSD_WARRANTY), ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_WARRANTY)]
+    for file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        texts.append((file.stem, text))
+        if _END in text:
+            texts.append((file.stem, text[: text.index(_END)]))
+            texts.append((file.stem, text[: text.index(_END) + len(_END)]))
+    texts += [(name, " ".join(text.split())) for name, text in texts]
+    texts.append(("Apache-2.0", _APACHE_NOTICE))
+    texts += [(name, _GNU_NOTICE.format(what, of, version)) for name, what, of, version in _GNU]
+    texts += [("MPL-2.0", _MPL_NOTICE.format(scheme)) for scheme in ("http", "https")]
+    return tuple(texts)
+
+
+PUBLISHED = _published()
+
+_OPENERS = (
+    r"permission (is hereby granted|to use)|redistribution and use|licen[sc]ed under|released under|"
+    r"(this|the) (work|software|program|library|file|source|code) |(mit|isc|bsd|apache) licen[sc]e"
+)
+#: Rewrites of the SQL twin, in a syntax that Java and RE2 read alike: copyright lines, spellings, punctuation, spaces.
+SQL_REWRITES = (
     (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", " "),
     (r"all rights reserved\.?", " "),
     (r"licenc(e|es|ed|ing)\b", "licens$1"),
@@ -54,6 +134,15 @@ REWRITES = (
     (r"&", " and "),
     (r"[^a-z0-9]+", " "),
 )
+#: A line counts as a copyright line if a sign or year follows, and goes up to its end or to where a licence text begins.
+REWRITES = (
+    (
+        r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[\[<{(]?([0-9]{4}|yyyy|year))|\(c\)[ \t]*[0-9]{4}|©)"
+        rf"[^\n]*?(?=\n|$|[ \t]({_OPENERS}))",
+        " ",
+    ),
+    *SQL_REWRITES[1:],
+)
 
 
 def canonical(text: Column) -> Column:
@@ -70,7 +159,7 @@ def digest(text: Column) -> Column:
 
 def known_licenses(spark: SparkSession) -> DataFrame:
     """(license_id, text) of the texts above."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    return spark.createDataFrame([*KNOWN, *PUBLISHED], "license_id string, text string")
 
 
 def licensed(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -103,7 +192,7 @@ def licensed(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     out = f"lower({text})"
-    for pattern, by in REWRITES:
+    for pattern, by in SQL_REWRITES:
         out = f"regexp_replace({out}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
     return f"trim({out})"
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 from math import log10
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -314,6 +315,21 @@ def test_licenses(spark):
     assert got == {(0, "MIT", "document", 1), (1, "MIT", "line", 1)}
 
 
+def test_licenses_as_published(spark):
+    isc = "\n".join(re.sub("that the above ", "that the above\n", x) for x in licenses.KNOWN[4][1].split("\n"))
+    some = [(0, f"Copyright (c) 2004 J. Doe\n\n{isc}"), (1, f"Copyright (c) 2020 Foo, Inc. {licenses.KNOWN[0][1]}")]
+    some += [(2, f"Copyright 2020 A\nCopyright 2021 B\n{licenses.KNOWN[0][1]}"), (3, "Copyright notices matter.")]
+    whole = [("BSD-2-Clause", "2020"), ("BSD-3-Clause", "2021")]
+    own = {name: text for name, text in licenses.PUBLISHED[1::-1]}
+    some += [(10 + i, f"Copyright (c) {year}, A. B.\nAll rights reserved.\n\n{own[name]}") for i, (name, year) in enumerate(whole)]
+    files = sorted((p.stem, p.read_text()) for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt"))
+    some += [(20 + i, text) for i, (_, text) in enumerate(files)] + [(60 + i, " ".join(t.split())) for i, (_, t) in enumerate(files)]
+    got = {(r.doc_id, r.license_id) for r in licenses.licensed(table(spark, some)).collect() if r.scope == "document"}
+    want = {(0, "ISC"), (1, "MIT"), (2, "MIT"), *((10 + i, name) for i, (name, _) in enumerate(whole))}
+    assert got == want | {(at + i, name) for at in (20, 60) for i, (name, _) in enumerate(files)}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {name for name, _ in files}
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a/x", "<head><title> A\n b</title></head><p>x &amp; y</p><script>no</script><a href='q'>z</a>"), (2, None, None), (3, "u\r\nv", "a\r\n\r\nb")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
