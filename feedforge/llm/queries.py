@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from feedforge.llm import (
     decontamination,
+    hyperminhash,
     language_model,
     licenses,
     packing,
@@ -17,7 +18,9 @@ from feedforge.llm import (
     repeats,
     similarity,
     token_files,
+    vector_codes,
     warc,
+    whitening,
 )
 from feedforge.session import new_scratch_path
 
@@ -35,6 +38,10 @@ def query(sql: str | None = None):
     return add
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -100,3 +107,21 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of pages, written as WARC and read back."""
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_scratch_path(spark, "warc"))
+
+
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of embeddings, with the share of variance of each."""
+    return whitening.whitened(embeddings(spark, sf_dir))
+
+
+@query(vector_codes.ORACLE_SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of embeddings, their errors and a digest of the codebooks."""
+    return vector_codes.vector_codes(embeddings(spark, sf_dir))
+
+
+@query()
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict per document, by sketches of word pairs."""
+    return hyperminhash.near_duplicates(documents(spark, sf_dir))
