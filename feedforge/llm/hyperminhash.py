@@ -12,10 +12,10 @@ A text's set holds the fingerprints of its word n-grams; equal sets form one cla
 3. Estimate. The share of equal registers, less the share that unequal tokens of sets of these sizes have by chance, estimates
    the similarity; pairs ``MARGIN`` standard errors below the threshold are let go (4e-6 of the pairs at the threshold).
 4. Links. Each key proposes its members with its smallest one; what passes the estimate is compared on full sets, and
-   components label the classes. Keys whose members still have several labels propose every pair of different labels: small
-   keys by a join, large ones in blocks of bounded size, where registers are compared in numpy and only pairs that pass the
-   estimate leave the task. Of these each class is first compared with its best candidate of each label, then with the rest of
-   those that still differ.
+   components label the classes. Keys whose members still have several labels compare every pair of different labels: small
+   keys propose them by a join; large ones are cut into blocks of bounded size, where registers are compared in numpy, each pair
+   in the first band it shares, full sets of those that pass the estimate follow in the same task, and one link per pair of labels
+   leaves it. So what travels grows with the members of a key, not with their pairs.
 """
 
 from __future__ import annotations
@@ -198,12 +198,15 @@ class _Sketches:
 
         return self.docs.mapInArrow(run, "node long, tokens binary")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
+    def full_sets(self, ends: DataFrame) -> DataFrame:
+        """Rows (node, tokens) of the nodes of ``ends``, written."""
+        ends = written(ends.select("node").distinct(), "ends")
+        wanted = key_filter(ends.select(F.col("node").alias("key")), "key")
+        return written(self.sets(wanted).join(ends, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
+
+    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar, written."""
         similarity = self.similarity
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        wanted = key_filter(ends.select(F.col("node").alias("key")), "key")
-        sets = written(self.sets(wanted).join(ends, "node", "left_semi").dropDuplicates(["node"]), "full-sets")
         side = lambda name: sets.select(F.col("node").alias(name), F.col("tokens").alias(f"tokens_{name}"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +222,11 @@ class _Sketches:
         return written(joined.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long"), "links")
 
     def screened(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass sizes and estimate, with the number of equal registers, written."""
+        """Pairs (a, b) that pass sizes and estimate, written."""
         similarity, floor = self.similarity, _floor(self.similarity)
         side = lambda name: classes.select(
             F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("registers").alias(f"registers_{name}")
         )
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -233,66 +235,81 @@ class _Sketches:
                 n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 equal = (_matrix(batch.column(4)) == _matrix(batch.column(5))).sum(axis=1)
                 good = (100 * np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b)) & (estimate(equal, n_a, n_b) >= floor)
-                yield record_batch(schema, [batch.column(0), batch.column(1), equal]).filter(pa.array(good))
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         joined = joined.select("a", "b", "n_a", "n_b", "registers_a", "registers_b")
-        return written(joined.mapInArrow(run, "a long, b long, equal long"), "likely")
+        return written(joined.mapInArrow(run, "a long, b long"), "likely")
+
+    def block_links(self, members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links (a, b) between labels of large keys, one per pair of labels and block, written.
 
-    def block_pairs(self, members: DataFrame, classes: DataFrame) -> DataFrame:
-        """The same for all pairs of different labels within large keys; ``members``: key, node, label, n (rows of the key)."""
+        ``members``: key, band, node, label, n (rows of the key).
+        """
         similarity, floor = self.similarity, _floor(self.similarity)
         parts = F.ceil(F.col("n") / BLOCK)
         own = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
         dealt = own.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).select(
-            "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"
+            "key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label"
         )
-        rows = dealt.join(classes.select("node", "n_shingles", "registers"), "node")
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("equal", pa.int64())])
+        about = classes.select("node", "n_shingles", "registers").join(sets, "node")
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def run(key: tuple, group: pa.Table) -> pa.Table:
-            i, j = key[1].as_py(), key[2].as_py()
+            i, j, band = key[1].as_py(), key[2].as_py(), group.column("band")[0].as_py()
             own, node, label, size = (group.column(c).to_numpy() for c in ("own", "node", "label", "n_shingles"))
             kept = _matrix(group.column("registers"))
+            texts = _Members(group.column("tokens"))
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            found = []
-            step = max(1, CELLS // (BUCKETS * max(1, len(right))))
-            for at in range(0, len(left), step):
-                x = left[at : at + step]
-                near = 100 * np.minimum.outer(size[x], size[right]) >= similarity * np.maximum.outer(size[x], size[right])
-                near &= label[x][:, None] != label[right][None, :]
-                if i == j:
-                    near &= node[x][:, None] < node[right][None, :]
-                p, q = np.nonzero(near)
-                p, q = x[p], right[q]
-                for b in range(0, len(p), CELLS // BUCKETS):
-                    u, v = p[b : b + CELLS // BUCKETS], q[b : b + CELLS // BUCKETS]
-                    equal = (kept[u] == kept[v]).sum(axis=1)
-                    good = estimate(equal, size[u], size[v]) >= floor
-                    u, v = node[u[good]], node[v[good]]
-                    found.append(np.stack([np.minimum(u, v), np.maximum(u, v), equal[good]]))
-            a, b, equal = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-            return pa.Table.from_batches([record_batch(schema, [a, b, equal])])
-
-        pairs = rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, equal long")
-        return written(pairs.groupBy("a", "b").agg(F.first("equal").alias("equal")), "likely-in-blocks")
-
-
-def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels, with label_a and label_b."""
-    for side in ("a", "b"):
-        own = labels.select(F.col("node").alias(side), F.col("label").alias("its"))
-        pairs = pairs.join(own, side, "left").withColumn(f"label_{side}", F.coalesce("its", side)).drop("its")
-    return pairs.filter("label_a <> label_b")
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """Per class and foreign label the pair of most equal registers; in every one, one end's best pair."""
-    both = pairs.select("a", "b", "equal", F.col("a").alias("me"), F.col("label_b").alias("theirs")).union(
-        pairs.select("a", "b", "equal", F.col("b").alias("me"), F.col("label_a").alias("theirs"))
-    )
-    best = both.groupBy("me", "theirs").agg(F.max(F.struct("equal", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b").distinct()
+            linked, a, b = set(), [], []
+            for x in left:
+                y = right[(label[right] != label[x]) & ((node[right] > node[x]) | (i != j))]
+                y = y[100 * np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])]
+                for at in range(0, len(y), CELLS // BUCKETS):
+                    z = y[at : at + CELLS // BUCKETS]
+                    same = kept[z] == kept[x]
+                    z = z[(estimate(same.sum(axis=1), size[x], size[z]) >= floor) & (_first_band(same) == band)]
+                    both = texts.shared(x, z)
+                    for v in z[100 * both >= similarity * (size[x] + size[z] - both)]:
+                        if (label[x], label[v]) not in linked:
+                            linked |= {(label[x], label[v]), (label[v], label[x])}
+                            a.append(node[x])
+                            b.append(node[v])
+            return pa.Table.from_batches([record_batch(schema, [np.array(a, np.int64), np.array(b, np.int64)])])
+
+        return written(dealt.join(about, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "links")
+
+
+def _first_band(same: np.ndarray) -> np.ndarray:
+    """The first band whose registers are all equal, for rows of which some band is."""
+    n = BUCKETS // BAND
+    return same[:, : n * BAND].reshape(len(same), n, BAND).all(axis=2).argmax(axis=1)
+
+
+class _Members:
+    """Full sets of a block, their tokens numbered; numbers of one text are marked to count what others share with it."""
+
+    def __init__(self, tokens: pa.ChunkedArray):
+        found = [unpacked(t, "uint64", rising=True) for t in tokens.to_pylist()]
+        self.sizes = np.array([len(t) for t in found])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        distinct, self.numbers = np.unique(np.concatenate(found), return_inverse=True)
+        self.marks = np.zeros(len(distinct), bool)
+
+    def shared(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Tokens that each of ``others`` shares with ``one``."""
+        if not len(others):
+            return np.zeros(0, np.int64)
+        own = self.numbers[self.starts[one] : self.starts[one] + self.sizes[one]]
+        self.marks[own] = True
+        sizes = self.sizes[others]
+        hit = self.marks[self.numbers[ranges(self.starts[others], sizes)]].astype(np.int64)
+        self.marks[own] = False
+        return np.add.reduceat(hit, np.cumsum(sizes) - sizes)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -315,7 +332,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: int = SIMIL
         "classes",
     )
 
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("node", pa.int64())])
 
     def bands(wanted: np.ndarray | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,38 +340,34 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, similarity: int = SIMIL
                 if batch.num_rows:
                     keys = band_keys(_matrix(batch.column(1)))
                     nodes = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+                    number = np.tile(np.arange(keys.shape[1]), len(keys))
                     keys = keys.ravel()
                     through = slice(None) if wanted is None else passes(wanted, keys)
-                    yield record_batch(schema, [keys[through].view(np.int64), nodes[through]])
+                    yield record_batch(schema, [keys[through].view(np.int64), number[through], nodes[through]])
 
-        return classes.select("node", "registers").mapInArrow(run, "key long, node long")
+        return classes.select("node", "registers").mapInArrow(run, "key long, band int, node long")
 
     ends = F.min("node").alias("low"), F.max("node").alias("high")
     live = written(bands(None).groupBy("key").agg(*ends).filter("low <> high").select("key", "low"), "live-keys")
     members = written(bands(key_filter(live, "key")).join(live, "key"), "members")
 
     stars = members.filter("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    links = work.links(work.screened(written(stars, "stars"), classes))
+    stars = written(stars, "stars")
+    near = work.screened(stars, classes)
+    links = work.links(near, work.full_sets(_ends(near)))
     labels = written(components(links), "labels")
 
-    own = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    own = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("label"))
     several = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("one"), F.max("label").alias("another"))
-    open_keys = several.filter("one <> another").select("key", "n")
-    rest = written(own.join(open_keys, "key"), "unsettled")
+    rest = written(own.join(several.filter("one <> another").select("key", "n"), "key"), "unsettled")
     small, large = rest.filter(F.col("n") <= SMALL_KEY), rest.filter(F.col("n") > SMALL_KEY)
     x, y = small.alias("x"), small.alias("y")
     apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")))
     pairs = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    seen = stars.select("a", "b")
-    likely = work.screened(written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs"), classes)
-    likely = likely.union(work.block_pairs(large, classes).join(seen, ["a", "b"], "left_anti"))
-    likely = written(likely.groupBy("a", "b").agg(F.first("equal").alias("equal")), "candidates")
-
-    first = written(_best(_labelled(likely, labels)), "best")
-    links = links.union(work.links(first))
+    near = work.screened(written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"), classes)
+    sets = work.full_sets(_ends(near).union(large.select("node")))
+    links = links.union(work.links(near, sets)).union(work.block_links(large, classes, sets))
     labels = written(components(links), "labels")
-    left = written(_labelled(likely.join(first, ["a", "b"], "left_anti"), labels).select("a", "b"), "left")
-    labels = written(components(links.union(work.links(left))), "labels")
 
     of_class = classes.join(labels, "node", "left").select("node", "first_doc", F.coalesce("label", "node").alias("label"))
     least = of_class.groupBy("label").agg(F.min("first_doc").alias("component_id"))
