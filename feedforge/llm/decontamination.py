@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedforge.llm.exchange import key_filter, passes, record_batch
+from feedforge.llm.exchange import key_filter, passes, record_batch, rows_without
 from feedforge.llm.words import _LOWER, Chunk, chunks, hashed, mixed, ranges, rolling
 from feedforge.session import written
 
@@ -297,8 +297,10 @@ def contaminated(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item."""
-    number = F.monotonically_increasing_id()
-    bad = contaminated(docs, benchmark).select(F.col("row").alias("its_row")).distinct()
-    numbered = docs.withColumn("its_row", number)
-    return numbered.join(bad, "its_row", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text holds no benchmark item.
+
+    Rows are told by a hash of 64 bits of their text, never by their place, so it makes no difference how ``docs`` comes about.
+    """
+    text = F.xxhash64("text")
+    bad = contaminated(docs.select(text.alias("doc_id"), "text"), benchmark)
+    return rows_without(docs, text, written(bad.select(F.col("doc_id").alias("key")).distinct(), "contaminated"))

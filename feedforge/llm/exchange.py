@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.llm.words import chunks, mixed
@@ -66,6 +67,47 @@ def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[str]:
+    """Column names quoted for select, whatever characters they have."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def rows_without(df: DataFrame, key: Column, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (long) is not in ``gone`` (key long); of those whose key is in ``once``, one per key stays.
+
+    Both tables of keys should be written: they are read more than once. ``key`` must be computed from the row's own values, so
+    that every scan gives a row the same one. Rows that the filter of keys lets through are joined; all others, which
+    are most of a large table as long as the filter is not full, stay in their task.
+    """
+    columns, name, doubt = own_columns(df), free_name(df, "key_of_row"), free_name(df, "in_doubt")
+    marked = gone.select(F.col("key").alias(name), F.lit(False).alias("keep"))
+    if once is not None:
+        marked = marked.union(once.select("key", F.lit(True)))
+    bitmap = key_filter(marked.select(F.col(name).alias("key")), "key")
+
+    @F.pandas_udf("boolean")
+    def may_be_listed(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(bitmap, keys.to_numpy(np.int64).view(np.uint64)))
+
+    keyed = df.withColumn(name, key)
+    keyed = keyed.withColumn(doubt, may_be_listed(F.col(name)))
+    kept = keyed.filter(~F.col(doubt)).select(*columns)
+    doubtful = keyed.filter(F.col(doubt)).drop(doubt)
+    kept = kept.union(doubtful.join(marked, name, "left_anti").select(*columns))
+    if once is not None:
+        again = doubtful.join(once.select(F.col("key").alias(name)), name, "left_semi").dropDuplicates([name])
+        kept = kept.union(again.select(*columns))
+    return kept
+
+
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     """A batch of ``schema`` from numpy arrays, lists or Arrow arrays."""
     made = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedforge.llm.exchange import own_columns
 from feedforge.session import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -199,8 +200,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(measured(docs)).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their own columns, whatever names these have."""
+    whole = F.struct(*own_columns(docs)).alias("its_columns")
+    return judged(measured(docs.select("text", "lang", "source", whole))).filter("kept").select("its_columns.*")
 
 
 _SQL_RATES = ", ".join(f"('{n}', {s})" for n, s in SLACK.items())

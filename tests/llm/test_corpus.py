@@ -380,4 +380,4 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_registered_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registered.QUERIES)
-    assert numbers == list(range(1, 11)) and set(registered.SQL) <= set(registered.QUERIES)
+    assert numbers == list(range(1, 14)) and set(registered.SQL) <= set(registered.QUERIES)
