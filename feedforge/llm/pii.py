@@ -23,7 +23,8 @@ from feedforge.llm.words import Chunk, chunks
 # The patterns of the four kinds, apart from an address's part before the sign, which is found backwards.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A match begins where a run of digits does and takes whole runs; saying so keeps the search linear in long runs.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PHONE_WITHOUT_SIGN = re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}")
@@ -49,7 +50,8 @@ def _is_card(text: str) -> bool:
 
 
 def _is_ip(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    parts = [p.lstrip("0") for p in text.split(".")]
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
 
 
 def _is_phone(text: str) -> bool:
