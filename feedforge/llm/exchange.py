@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -89,13 +88,15 @@ def rows_without(df: DataFrame, key: Column, gone: DataFrame, once: DataFrame |
     """
     columns, name, doubt = own_columns(df), free_name(df, "key_of_row"), free_name(df, "in_doubt")
     marked = gone.select(F.col("key").alias(name), F.lit(False).alias("keep"))
+    if once is not None and once.isEmpty():
+        once = None
     if once is not None:
         marked = marked.union(once.select("key", F.lit(True)))
     bitmap = key_filter(marked.select(F.col(name).alias("key")), "key")
 
-    @F.pandas_udf("boolean")
-    def may_be_listed(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(bitmap, keys.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def may_be_listed(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(bitmap, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
 
     keyed = df.withColumn(name, key)
     keyed = keyed.withColumn(doubt, may_be_listed(F.col(name)))

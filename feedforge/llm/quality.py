@@ -202,7 +202,8 @@ def scores(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns, whatever names these have."""
     whole = F.struct(*own_columns(docs)).alias("its_columns")
-    return judged(measured(docs.select("text", "lang", "source", whole))).filter("kept").select("its_columns.*")
+    rows = measured(docs.select("text", "lang", "source", whole)).drop("text")
+    return judged(rows).filter("kept").select("its_columns.*")
 
 
 _SQL_RATES = ", ".join(f"('{n}', {s})" for n, s in SLACK.items())
