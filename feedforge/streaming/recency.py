@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from feedforge.operators.segments import desc, top_n
 
@@ -111,75 +111,174 @@ def store_statistics(state: DataFrame, deleted: DataFrame) -> DataFrame:
     return state.agg(F.count(F.lit(1)).alias("items")).select(users.alias("users"), "items", gone.alias("deleted"))
 
 
-STATE_SCHEMA = "items array<struct<item_id:bigint,ts_s:bigint,item_type:tinyint,arrival:bigint>>"
-OUTPUT_SCHEMA = "user_id bigint, version bigint, " + STATE_SCHEMA
-
-
-def _state_step(cap: int):
-    """The state function; it carries all it needs, so workers need not have this package."""
-    names = ("item_id", "ts_s", "item_type", "arrival")
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (user,) = key
-        stored = state.get[0] if state.exists else []
-        line = OrderedDict()
-        for item in stored:
-            values = item if isinstance(item, dict) else dict(zip(names, item))
-            line[values["item_id"]] = values
-        arrived = list(chunks)
-        if arrived:
-            rows = pd.concat(arrived).sort_values(["ts_s", "row_id"])
-            columns = [rows[c].tolist() for c in ("item_id", "ts_s", "item_type", "row_id")]
-            for values in zip(*columns):
-                if values[0] not in line:
-                    line[values[0]] = dict(zip(names, values))
-                    if len(line) > cap:
-                        line.popitem(last=False)
-        watermark = state.getCurrentWatermarkMs()
-        kept = [i for i in line.values() if i["ts_s"] * 1000 >= watermark]
-        if kept:
-            state.update(([tuple(i[c] for c in names) for i in kept],))
-            state.setTimeoutTimestamp(max(min(i["ts_s"] for i in kept) * 1000 + 1, watermark + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame({"user_id": [user], "version": [watermark], "items": [kept]})
+CHANGE_SCHEMA = (
+    "user_id bigint, place bigint, gone boolean, item_id bigint, ts_s bigint, item_type tinyint, arrival bigint"
+)
+
 
-    return run
+def timeline_processor(cap: int) -> type[StatefulProcessor]:
+    """A processor that keeps a user's timeline item by item.
+
+    ``items`` finds an item's row, ``line`` the item at a place of the queue, ``ends`` the two ends of the queue. An arrival
+    reads and writes only what it touches, whatever the timeline holds; the oldest place leaves beyond ``cap``; a timer per item
+    removes it once the watermark passes it. The output is what changed: rows that came, and rows that are gone.
+    """
+
+    class Timeline(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            row = "ts_s long, item_type int, arrival long, place long"
+            self.items = handle.getMapState("items", "item_id long", row)
+            self.line = handle.getMapState("line", "place long", "item_id long")
+            self.ends = handle.getValueState("ends", "first long, next long, n long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            (user,) = key
+            first, after, n = self.ends.get() if self.ends.exists() else (0, 0, 0)
+            watermark = timerValues.getCurrentWatermarkInMs()
+            for chunk in rows:
+                changes, known = [], {}
+                ordered = chunk.sort_values(["ts_s", "row_id"])
+                columns = [ordered[c].tolist() for c in ("item_id", "ts_s", "item_type", "row_id")]
+                for item, ts, kind, row in zip(*columns):
+                    if item not in known:
+                        known[item] = self.items.containsKey((item,))
+                    if known[item]:
+                        continue
+                    self.items.updateValue((item,), (ts, kind, row, after))
+                    self.line.updateValue((after,), (item,))
+                    self.handle.registerTimer(max(ts * 1000 + 1, watermark + 1))
+                    known[item] = True
+                    changes.append((user, after, False, item, ts, kind, row))
+                    after, n = after + 1, n + 1
+                    if n > cap:
+                        while not self.line.containsKey((first,)):
+                            first += 1
+                        (old,) = self.line.getValue((first,))
+                        changes.append(self._left(user, old))
+                        known[old] = False
+                        first, n = first + 1, n - 1
+                yield _changes(changes)
+            self.ends.update((first, after, n))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            (user,) = key
+            watermark = timerValues.getCurrentWatermarkInMs()
+            expired = [item for (item,), (ts, *_) in self.items.iterator() if ts * 1000 < watermark]
+            changes = [self._left(user, item) for item in expired]
+            if changes:
+                first, after, n = self.ends.get()
+                self.ends.update((first, after, n - len(changes)))
+            yield _changes(changes)
+
+        def _left(self, user: int, item: int) -> tuple:
+            ts, kind, row, place = self.items.getValue((item,))
+            self.items.removeKey((item,))
+            self.line.removeKey((place,))
+            return (user, place, True, item, ts, kind, row)
+
+        def close(self) -> None:
+            pass
+
+    def _changes(rows: list) -> pd.DataFrame:
+        names = ["user_id", "place", "gone", "item_id", "ts_s", "item_type", "arrival"]
+        return pd.DataFrame(rows, columns=names).astype({n: "bool" if n == "gone" else "int64" for n in names})
+
+    return Timeline
 
 
 def recency_stream(
     events: DataFrame, deleted: DataFrame | None = None, cap: int = CAP, retention: int = RETENTION_SECONDS
 ) -> DataFrame:
-    """Stream of changed timelines, one row per changed user and micro-batch.
+    """Stream of changes of timelines: (user_id, place, gone, item_id, ts_s, item_type, arrival).
 
-    ``events`` is a streaming DataFrame that also has the timestamp column
-    ``ts``. The watermark follows the newest event by ``retention`` seconds:
-    later rows are dropped and older items leave the state, by a timer where a
-    user stays silent. A task holds the new rows of one user in one
-    micro-batch, so bound the micro-batch at the source.
+    ``events`` is a streaming DataFrame that also has the timestamp column ``ts``. The watermark follows the newest event by
+    ``retention`` seconds: later rows are dropped and older items leave the state by their timers. A user's new rows pass
+    through in Arrow batches, so a micro-batch of any size needs bounded memory; within an Arrow batch they are taken in
+    (ts_s, row_id) order, and a micro-batch of more rows of one user in the order in which Spark delivers its Arrow batches.
     """
     rows = events.withWatermark("ts", f"{retention} seconds")
     rows = without_deleted(rows, deleted)
-    return rows.groupBy("user_id").applyInPandasWithState(
-        _state_step(cap), OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=timeline_processor(cap)(), outputStructType=CHANGE_SCHEMA, outputMode="append", timeMode="EventTime"
+    )
+
+
+# Micro-batches between two compactions of a change log.
+COMPACT_EVERY = 20
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """Finished folders ``name=<number>`` below ``path``, by number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(root):
+        return {}
+    found = {}
+    for status in files.listStatus(root):
+        own = status.getPath()
+        label, _, number = own.getName().partition("=")
+        if label == name and files.exists(spark._jvm.org.apache.hadoop.fs.Path(own, "_SUCCESS")):
+            found[int(number)] = own.toString()
+    return found
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Live rows of a change log, with their places: the last base and the changes after it.
+
+    ``before`` leaves out later batches and bases.
+    """
+    limit = float("inf") if before is None else before
+    bases = {n: f for n, f in _folders(spark, path, "base").items() if n < limit}
+    upto = max(bases, default=-1)
+    changes = [f for n, f in _folders(spark, path, "batch").items() if upto < n < limit]
+    read = [*([bases[upto]] if bases else []), *changes]
+    rows = spark.read.schema(CHANGE_SCHEMA).parquet(*read) if read else spark.createDataFrame([], CHANGE_SCHEMA)
+    places = rows.groupBy("user_id", "place").agg(
+        F.bool_or("gone").alias("gone"), *(F.first(c).alias(c) for c in ("item_id", "ts_s", "item_type", "arrival"))
     )
+    return places.where("not gone")
 
 
 def start_snapshot_sink(
-    stream: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None, **trigger
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    state_partitions: int | None = None,
+    compact_every: int = COMPACT_EVERY,
+    **trigger,
 ):
-    """Write every micro-batch's timelines below ``path`` under its batch id.
+    """Write every micro-batch's changes below ``path`` as a log that is compacted every ``compact_every`` batches.
 
-    A micro-batch that runs again replaces its own folder. The number of state
-    partitions is fixed by a stream's first start: ``state_partitions`` or the
-    session's shuffle width.
+    A batch has a folder of its own and replaces it when it runs again. A compaction writes the live rows as a new base and
+    removes what the base before it had replaced, so readers of that one can finish; the log never holds more than two bases
+    and twice ``compact_every`` batches, however long the stream runs. The number of state partitions is fixed by a
+    stream's first start: ``state_partitions`` or the session's shuffle width.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        rows = _current(spark, path, before=batch_id).unionByName(spark.read.parquet(f"{path}/batch={batch_id}"))
+        places = rows.groupBy("user_id", "place").agg(
+            F.bool_or("gone").alias("gone"), *(F.first(c).alias(c) for c in ("item_id", "ts_s", "item_type", "arrival"))
+        )
+        bases = _folders(spark, path, "base")
+        places.where("not gone").write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+        last = max((n for n in bases if n < batch_id), default=-1)
+        old = {n: f for n, f in bases.items() if n < last}
+        _remove(spark, [*old.values(), *(f for n, f in _folders(spark, path, "batch").items() if n <= last)])
 
     writer = (
-        stream.writeStream.outputMode("update")
+        stream.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
@@ -197,13 +296,13 @@ def start_snapshot_sink(
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Current state from the written timelines: the last one of every user."""
-    written = spark.read.parquet(path)
-    last = written.groupBy("user_id").agg(F.max_by("items", "batch_id").alias("items"))
-    rows = last.select("user_id", F.explode("items").alias("i"))
-    return rows.select("user_id", "i.item_id", "i.ts_s", "i.item_type", "i.arrival")
+    """Current state from a change log; reads the last base and the changes since, at most ``compact_every`` batches."""
+    return _current(spark, path).select(*SNAPSHOT_COLUMNS)
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    """Empty a stored snapshot; a stream that starts over takes a new checkpoint and path."""
-    spark.createDataFrame([], OUTPUT_SCHEMA + ", batch_id bigint").write.mode("overwrite").parquet(path)
+    """Empty a change log; a stream that starts over takes a new checkpoint and path."""
+    later = max([-1, *_folders(spark, path, "base"), *_folders(spark, path, "batch")]) + 1
+    old = [*_folders(spark, path, "base").values(), *_folders(spark, path, "batch").values()]
+    spark.createDataFrame([], CHANGE_SCHEMA).write.mode("overwrite").parquet(f"{path}/base={later}")
+    _remove(spark, old)

@@ -18,9 +18,11 @@ TEN_DAYS = 864_000
 
 STATE = f"""
 {INTERACTIONS}, deleted AS (SELECT DISTINCT l_partkey + 1 AS item_id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50),
-posts AS (SELECT *, row_id % 3 AS item_type FROM interactions WHERE item_id NOT IN (SELECT item_id FROM deleted)), state AS (
+posts AS (SELECT *, row_id % 3 AS item_type FROM interactions WHERE item_id NOT IN (SELECT item_id FROM deleted)), arrived AS (
   SELECT user_id, item_id, ts_s, item_type, row_id AS arrival FROM posts
   QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts_s, row_id) = 1
+), state AS (
+  SELECT * FROM arrived QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_s DESC, arrival DESC) <= 500
 )"""
 STATE_COLUMNS = "user_id, item_id, ts_s, CAST(item_type AS TINYINT) AS item_type, arrival"
 
@@ -102,14 +104,25 @@ def recency_stream(spark, sf_dir):
     return recency.latest_snapshot(spark, state)
 
 
+@query(f"""
+WITH {STATE} SELECT {STATE_COLUMNS} FROM state
+WHERE ts_s * 1000 >= (SELECT epoch_ms(max(ts)) - {TEN_DAYS} * 1000 FROM events)""")
+def recency_stream_retention(spark, sf_dir):
+    """The same stream with ten days of retention: timers remove the older items."""
+    state, checkpoint = new_scratch_path(spark, "recency"), new_scratch_path(spark, "recency-checkpoint")
+    stream = recency.recency_stream(_post_stream(spark, sf_dir), _deleted(spark, sf_dir), retention=TEN_DAYS)
+    cores = spark.sparkContext.defaultParallelism
+    recency.start_snapshot_sink(stream, state, checkpoint, state_partitions=cores, compact_every=1).awaitTermination()
+    return recency.latest_snapshot(spark, state)
+
+
 @query("SELECT 0::BIGINT AS items")
 def recency_clear(spark, sf_dir):
     """A stored state emptied."""
     path = new_scratch_path(spark, "recency")
     posts = _state(spark, sf_dir)
-    steps = F.sort_array(F.collect_list(F.struct("item_id", "ts_s", "item_type", "arrival")))
-    rows = posts.groupBy("user_id").agg(F.lit(0).cast("bigint").alias("version"), steps.alias("items"))
-    rows.write.parquet(f"{path}/batch_id=0")
+    rows = posts.withColumns({"place": F.col("arrival"), "gone": F.lit(False)})
+    rows.write.parquet(f"{path}/base=0")
     recency.clear(spark, path)
     return recency.latest_snapshot(spark, path).agg(F.count(F.lit(1)).alias("items"))
 

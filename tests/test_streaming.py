@@ -42,7 +42,7 @@ def test_snapshot_equals_replay_without_eviction(spark):
     assert as_set(recency.snapshot(df, deleted)) == as_set(recency.replay(df, deleted)) == model([[e for e in events() if e[2] not in (3, 4)]], 500)
 
 
-def run_stream(spark, batches, **options):
+def run_stream(spark, batches, compact_every=2, **options):
     source, state, checkpoint = (new_scratch_path(spark, n) for n in ("src", "state", "chk"))
     schema = SCHEMA + ", ts timestamp"
     query = None
@@ -50,16 +50,49 @@ def run_stream(spark, batches, **options):
         df = spark.createDataFrame(batch, SCHEMA).withColumn("ts", F.timestamp_seconds("ts_s"))
         df.coalesce(1).write.mode("append").parquet(source)
         stream = recency.recency_stream(spark.readStream.schema(schema).parquet(source), **options)
-        query = recency.start_snapshot_sink(stream, state, checkpoint)
+        query = recency.start_snapshot_sink(stream, state, checkpoint, compact_every=compact_every)
         query.awaitTermination()
+    folders = recency._folders(spark, state, "batch"), recency._folders(spark, state, "base")
+    assert len(folders[0]) <= 2 * compact_every and len(folders[1]) <= 2
     return recency.latest_snapshot(spark, state)
 
 
-@pytest.mark.parametrize("cap", [8, 500])
-def test_stream_equals_the_model(spark, cap):
+@pytest.mark.parametrize(("cap", "compact_every"), [(8, 2), (500, 1), (12, 100)])
+def test_stream_equals_the_model(spark, cap, compact_every):
     data = events(240)
-    batches = [data[i : i + 80] for i in range(0, 240, 80)]
-    assert as_set(run_stream(spark, batches, cap=cap, retention=31_536_000)) == model(batches, cap)
+    batches = [data[i : i + 60] for i in range(0, 240, 60)]
+    assert as_set(run_stream(spark, batches, compact_every, cap=cap, retention=31_536_000)) == model(batches, cap)
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    """The sink's folders of a batch are replaced, not added to, compactions included."""
+    path = new_scratch_path(spark, "state")
+    held = {}
+
+    class Writer:
+        outputMode = option = trigger = lambda self, *a, **k: self
+        start = lambda self: None
+
+        def foreachBatch(self, f):
+            held["write"] = f
+            return self
+
+    class Stream:
+        writeStream = Writer()
+
+    recency.start_snapshot_sink(Stream(), path, "unused", compact_every=2)
+    make = lambda rows: spark.createDataFrame(rows, recency.CHANGE_SCHEMA)
+    batches = [
+        [(1, 0, False, 5, 10, 0, 100), (1, 1, False, 6, 11, 0, 101)],
+        [(1, 0, True, 5, 10, 0, 100), (1, 2, False, 7, 12, 0, 102)],
+        [(1, 3, False, 5, 13, 0, 103)],
+        [(1, 1, True, 6, 11, 0, 101)],
+    ]
+    for i, rows in enumerate(batches):
+        held["write"](make(rows), i)
+        held["write"](make(rows), i)
+    assert as_set(recency.latest_snapshot(spark, path)) == {(1, 7, 12, 0, 102), (1, 5, 13, 0, 103)}
+    assert set(recency._folders(spark, path, "base")) == {1, 3} and set(recency._folders(spark, path, "batch")) == {2, 3}
 
 
 def test_stream_trims_old_items(spark):
