@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedforge.functions.actions import ACTIONS, action_vector
-from feedforge.operators.segments import HOT_ROWS, SEGMENT, as_constant, asc, cut, desc, row_number, top_n
+from feedforge.operators.segments import HOT_ROWS, SEGMENT, asc, cut, desc, row_number, top_n
 
 TIME_ORDER = (asc("ts_s"), asc("row_id"))
 MAX_HISTORY = 128
@@ -68,7 +68,6 @@ def with_prior_history(
     fields: Sequence[str] = ("item_id", *ACTIONS),
     name: str = "history",
     hot_rows: int = HOT_ROWS,
-    cuts: int = 255,
 ) -> DataFrame:
     """The latest ``size`` interactions strictly before each row, newest first.
 
@@ -77,7 +76,7 @@ def with_prior_history(
     ``size`` rows before it. Rows of one second share the history of the first
     of them, so a row never sees its own second.
     """
-    rows = cut(df, ["user_id"], [asc("ts_s")], hot_rows, cuts, ties=True)
+    rows = cut(df, ["user_id"], [asc("ts_s")], hot_rows)
     if rows is None:
         everything = df.withColumns({SEGMENT: F.lit(0), "_own": F.lit(True)})
     else:
@@ -92,31 +91,21 @@ def with_prior_history(
 
 
 def _with_earlier_tails(rows: DataFrame, size: int, fields: Sequence[str]) -> DataFrame:
-    """Cut rows, with copies of the ``size`` rows before each later segment."""
+    """Cut rows, with copies of the ``size`` rows before each later segment.
+
+    Only the last ``size`` rows of each segment matter to later ones. Ordered by time, the last ``size`` of these at the end
+    of a segment are what its successor starts from.
+    """
     carried = ["user_id", "ts_s", "row_id", *[f for f in fields if f not in ("user_id", "ts_s", "row_id")]]
-    hot = rows.where("_cut")
-    until = F.sum("_n").over(Window.partitionBy("user_id").orderBy(SEGMENT))
-    counts = hot.groupBy("user_id", SEGMENT).agg(F.count(F.lit(1)).alias("_n")).withColumn("_until", until)
-    sizes = as_constant(counts)
-    sources = sizes.select("user_id", SEGMENT, F.col("_until").alias("_source_until"))
-    targets = sizes.select(
-        "user_id", F.col(SEGMENT).alias("_target"), (F.col("_until") - F.col("_n")).alias("_target_start")
-    )
-    gap = F.col("_target_start") - F.col("_source_until")
-    reach = (
-        sources.join(targets, "user_id")
-        .where((F.col("_target") > F.col(SEGMENT)) & (gap < size))
-        .select("user_id", SEGMENT, "_target", gap.alias("_gap"))
-    )
-    order = [desc("ts_s"), desc("row_id")]
-    tails = top_n(hot.select(*carried, SEGMENT), ["user_id", SEGMENT], order, size, "_back")
-    copies = (
-        tails.join(F.broadcast(reach), ["user_id", SEGMENT])
-        .where(F.col("_back") + F.col("_gap") <= size)
-        .select(*carried, F.col("_target").alias(SEGMENT), F.lit(False).alias("_own"))
+    tails = top_n(
+        rows.where("_cut").select(*carried, SEGMENT), ["user_id", SEGMENT], [desc("ts_s"), desc("row_id")], size, "_back"
     )
+    by = Window.partitionBy("user_id").orderBy("ts_s", "row_id")
+    kept = F.collect_list(F.struct(*carried)).over(by.rowsBetween(1 - size, Window.currentRow))
+    ends = tails.withColumns({"_kept": kept, "_next": F.lead(SEGMENT).over(by)}).where("_back = 1 AND _next IS NOT NULL")
+    copies = ends.select(F.explode("_kept").alias("_row"), F.col("_next").alias(SEGMENT)).select("_row.*", SEGMENT)
     own = rows.withColumn("_own", F.lit(True)).drop("_cut")
-    return own.unionByName(copies, allowMissingColumns=True)
+    return own.unionByName(copies.withColumn("_own", F.lit(False)), allowMissingColumns=True)
 
 
 def with_history_items(df: DataFrame, size: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -6,19 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.functions.draws import mix
-from feedforge.operators.index import BLOCK, before_key, order_statistics
-
-DAY = 86_400
+from feedforge.operators.index import before_key, order_statistics
 
 
 def time_cuts(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0.1) -> dict[str, tuple | None]:
     """First keys of the validation and test parts in (ts_s, row_id) order."""
-    levels = [F.floor(F.col("ts_s") / DAY), F.col("ts_s"), F.floor(F.col("row_id") / BLOCK), F.col("row_id")]
     positions = {
         "val": lambda total: int(total * train_ratio),
         "test": lambda total: int(total * (train_ratio + val_ratio)),
     }
-    return order_statistics(df, ["ts_s", "row_id"], levels, positions)
+    return order_statistics(df, ["ts_s", "row_id"], positions)
 
 
 def temporal_split(df: DataFrame, train_ratio: float = 0.8, val_ratio: float = 0.1) -> DataFrame:
@@ -70,17 +67,11 @@ def row_range(df: DataFrame, start: int, stop: int) -> DataFrame:
 def subsample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, chosen by a seeded hash of the row id.
 
-    The threshold is found by counting hash ranges, so nothing is sorted.
+    The threshold is found by counting bins of hashes, so nothing is sorted.
     """
     hashed = df.withColumn("_hash", mix(F.col("row_id"), seed))
-    levels = [
-        F.floor(F.col("_hash") / (1 << 16)),
-        F.col("_hash"),
-        F.floor(F.col("row_id") / BLOCK),
-        F.col("row_id"),
-    ]
     order = ["_hash", "row_id"]
-    cut = order_statistics(hashed, order, levels, {"limit": lambda total: n})["limit"]
+    cut = order_statistics(hashed, order, {"limit": lambda total: n})["limit"]
     return hashed.where(before_key(order, cut)).drop("_hash")
 
 

@@ -27,6 +27,30 @@ def test_split_cuts_at_exact_positions(log, small, monkeypatch):
     assert sorted(parts["test"]) == ordered[900:]
 
 
+@pytest.mark.parametrize("bits", [1, 3, 10])
+def test_wild_values_in_few_driver_rows(spark, monkeypatch, bits):
+    """Values over the whole range of longs, constant ones, repeated keys and NULLs; the fan-out bounds every level."""
+    rng = random.Random(bits)
+    monkeypatch.setattr(index, "SMALL", 0)
+    monkeypatch.setattr(index, "LEVEL_BITS", bits)
+    wild = lambda: rng.choice([-(1 << 63), (1 << 63) - 1, 0, -1, 1 << 40, rng.randrange(-(1 << 63), 1 << 63), 7, 7, 7])
+    rows = [(wild(), rng.randrange(3), wild()) for _ in range(300)]
+    df = spark.createDataFrame([*rows, (None, 1, 1), (1, 1, None)], "a long, b long, c long").repartition(5)
+    seen = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(out := collect(self)) or out)
+    want = sorted(rows)
+    got = index.order_statistics(df, ["a", "b", "c"], {"0": lambda n: 0, "50": lambda n: n // 2, "end": lambda n: n - 1, "no": lambda n: n})
+    assert got == {"0": want[0], "50": want[150], "end": want[-1], "no": None}
+    assert max(map(len, seen)) <= 3 << bits
+
+
+def test_log_without_timestamps(spark):
+    df = spark.range(0, 5_000_000, 1, 8).select(F.col("id").alias("row_id"), F.col("id").alias("ts_s"))
+    counts = {r.split: r["count"] for r in temporal_split(df).groupBy("split").count().collect()}
+    assert counts == {"train": 4_000_000, "val": 500_000, "test": 500_000}
+
+
 @pytest.mark.parametrize("ratios", [(1.0, 0.0), (0.0, 1.0), (0.0, 0.0)])
 def test_split_with_empty_parts(log, ratios):
     counts = {r.split: r["count"] for r in temporal_split(log, *ratios).groupBy("split").count().collect()}

@@ -15,8 +15,8 @@ def rows(spark):
     return spark.createDataFrame(data, "g string, pos long, score double, v long").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows,cuts", [(50, 7), (5, 3), (10_000, 7)])
-def test_running_equals_plain_window(rows, hot_rows, cuts):
+@pytest.mark.parametrize("hot_rows", [50, 5, 10_000])
+def test_running_equals_plain_window(rows, hot_rows):
     order = [desc("score"), asc("pos")]
     got = running(
         rows,
@@ -30,7 +30,6 @@ def test_running_equals_plain_window(rows, hot_rows, cuts):
             "head": ("first", F.col("v")),
         },
         hot_rows,
-        cuts,
     )
     w = Window.partitionBy("g").orderBy(F.desc("score"), "pos").rowsBetween(Window.unboundedPreceding, 0)
     want = rows.select(
@@ -45,7 +44,7 @@ def test_running_equals_plain_window(rows, hot_rows, cuts):
 
 
 def test_global_group(rows):
-    got = row_number(rows, [], [asc("pos")], "rn", hot_rows=100, cuts=9)
+    got = row_number(rows, [], [asc("pos")], "rn", hot_rows=100)
     assert all(
         r.rn == i + 1 for i, r in enumerate(sorted(got.collect(), key=lambda r: r.pos))
     )
@@ -64,5 +63,33 @@ def test_cut_groups_place_null_and_nan_like_plain_windows(spark):
     for first in (desc("score"), asc("score")):
         order = [first, asc("pos")]
         plain = {r.pos: r["rank"] for r in row_number(df, ["g"], order, "rank").collect()}
-        cut = {r.pos: r["rank"] for r in row_number(df, ["g"], order, "rank", hot_rows=2, cuts=7).collect()}
+        cut = {r.pos: r["rank"] for r in row_number(df, ["g"], order, "rank", hot_rows=2).collect()}
         assert cut == plain
+
+
+def test_many_large_groups(spark):
+    """All of 1 500 large groups are cut, a NULL group among them."""
+    df = spark.range(30_000).selectExpr("nullif(id % 1500, 7) AS g", "id * 7919 % 30011 AS pos", "id % 3 AS v")
+    got = running(df, ["g"], [desc("pos")], {"rn": ("count", None), "s": ("sum", F.col("v"))}, hot_rows=6)
+    w = Window.partitionBy("g").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.count(F.lit(1)).over(w).alias("rn"), F.sum("v").over(w).alias("s"))
+    assert got.exceptAll(want).isEmpty() and got.count() == 30_000
+
+
+def test_one_group_of_many_segments(spark):
+    """Totals of 400 segments are carried by a tree of several levels."""
+    df = spark.range(2000).selectExpr("id * 7919 % 2003 AS pos", "nullif(id % 5, 0) AS v", "double(id) / 7 AS x")
+    kinds = {"rn": ("count", None), "s": ("sum", F.col("v")), "hi": ("max", F.col("x")), "head": ("first", F.col("v"))}
+    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    e = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    for exclusive, frame in ((False, w), (True, e)):
+        got = running(df, [], [asc("pos")], kinds, hot_rows=5, exclusive=exclusive)
+        count = F.count(F.lit(1)).over(frame)
+        want = df.select("*", count.alias("rn"), F.sum("v").over(frame).alias("s"), F.max("x").over(frame).alias("hi"), F.first("v").over(frame).alias("head"))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_smallest_integer_in_descending_order(spark):
+    df = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,), (None,), (5,)], "x long")
+    ranks = {r.x: r["rn"] for r in row_number(df, [], [desc("x")], "rn", hot_rows=1).collect()}
+    assert ranks == {(1 << 63) - 1: 1, 5: 2, 0: 3, -(1 << 63): 4, None: 5}
