@@ -18,6 +18,8 @@ STEP_FACTOR = 16807
 SHIFT = 12345
 SECOND_FACTOR = 39373
 SECOND_SHIFT = 1013904223
+HIGH_FACTOR = 40692
+SECOND_WORD = 2_000_003
 
 
 def _long(value: Column | int) -> Column:
@@ -25,10 +27,11 @@ def _long(value: Column | int) -> Column:
 
 
 def mix(sample_id: Column, seed: Column | int, step: Column | int = 0) -> Column:
-    """A pseudo-random integer in ``[0, PRIME)``."""
+    """A pseudo-random integer in ``[0, PRIME)`` from all bits of the sample id."""
     prime = _long(PRIME)
     linear = (
         F.pmod(_long(sample_id), prime) * _long(ID_FACTOR)
+        + F.pmod(F.shiftright(_long(sample_id), 30), prime) * _long(HIGH_FACTOR)
         + _long(seed) * _long(SEED_FACTOR)
         + _long(step) * _long(STEP_FACTOR)
         + _long(SHIFT)
@@ -40,3 +43,16 @@ def mix(sample_id: Column, seed: Column | int, step: Column | int = 0) -> Column
 def draw(sample_id: Column, seed: Column | int, step: Column | int, pool_size: Column | int) -> Column:
     """A uniform draw from ``[0, pool_size)``."""
     return F.pmod(mix(sample_id, seed, step), _long(pool_size))
+
+
+def point(sample_id: Column, seed: int, step: Column | int, total: Column | int) -> Column:
+    """A uniform draw from ``[0, total)`` for any positive bigint ``total``.
+
+    Two words of :func:`mix` make a number of 62 bits, u; the draw is floor(u x total / PRIME^2) in whole numbers, so the
+    smallest of very unequal shares can be drawn, and SQL can repeat it.
+    """
+    size = (F.lit(total) if isinstance(total, int) else total).cast("decimal(19,0)")
+    word = lambda seed: mix(sample_id, seed, step).cast("decimal(10,0)")
+    prime = F.lit(PRIME).cast("decimal(10,0)")
+    low = F.call_function("div", word(seed + SECOND_WORD) * size, prime)
+    return F.call_function("div", word(seed) * size + low.cast("decimal(19,0)"), prime)

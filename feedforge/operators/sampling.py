@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from feedforge.functions.draws import PRIME, draw, mix
+from feedforge.functions.draws import PRIME, draw, mix, point
 from feedforge.operators.index import BUCKETS, shuffled_index
 from feedforge.operators.segments import HOT_ROWS, asc, row_number
 from feedforge.session import written
@@ -146,8 +146,9 @@ def popularity_negatives(
 ) -> DataFrame:
     """Up to ``n`` draws with probability ``frequency ** power``, not positives.
 
-    A draw is a point of the summed weights. Points and item ranges meet on
-    equal cells of the line, one cell per item on average.
+    A draw is a point of the summed weights, of 62 bits, so an item of any
+    share can be drawn. Points and item ranges meet on equal cells of the
+    line, one cell per item on average.
     """
     frequencies = written(frequencies.select("item_id", "frequency"), "frequencies")
     weight = F.round(F.pow(F.col("frequency").cast("double"), F.lit(power)) * WEIGHT_SCALE).cast("bigint")
@@ -160,9 +161,7 @@ def popularity_negatives(
     ranges = ranges.withColumn("_cell", F.explode(cells))
 
     def one_round(steps: DataFrame) -> DataFrame:
-        share = mix(F.col("sample_id"), seed, F.col("step")).cast("double") / F.lit(float(PRIME))
-        point = F.floor(share * total.cast("double")).cast("bigint")
-        drawn = steps.withColumn("_point", point).withColumn("_cell", F.floor(F.col("_point") / cell_width))
+        drawn = steps.withColumn("_point", point(F.col("sample_id"), seed, F.col("step"), total)).withColumn("_cell", F.floor(F.col("_point") / cell_width))
         inside = (F.col("_point") >= F.col("lo")) & (F.col("_point") < F.col("hi"))
         hits = drawn.join(ranges, "_cell").where(inside).drop("_cell", "_point", "lo", "hi")
         return _first_accepted(_flag_positives(hits, known), n)

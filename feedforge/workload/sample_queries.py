@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedforge.functions.draws import mix
+from feedforge.functions.draws import mix, point
 from feedforge.operators import sampling
 from feedforge.operators.split import part, subsample, temporal_split
 from feedforge.operators.stats import item_dimension, item_popularity, popular_items, user_items
@@ -12,7 +12,7 @@ from feedforge.plans import datasets
 from feedforge.session import new_scratch_path
 from feedforge.sources import tables
 from feedforge.workload.registry import joined_text, query
-from feedforge.workload.views import INTERACTIONS, PRIOR_ONLY, SPLIT, interactions, sql_mix, table
+from feedforge.workload.views import INTERACTIONS, PRIOR_ONLY, SPLIT, interactions, sql_mix, sql_point, table
 
 N = 4
 SEED = 42
@@ -57,8 +57,7 @@ WITH {INTERACTIONS}, {POSITIVES}, weights AS (
   SELECT item_id, CAST(sum(w) OVER o - w AS BIGINT) AS lo, CAST(sum(w) OVER o AS BIGINT) AS hi FROM weights
   WINDOW o AS (ORDER BY {sql_mix('item_id', 0)}, item_id)
 ), draws AS (
-  SELECT row_id AS sample_id, user_id, step, CAST(floor({sql_mix('row_id', SEED, 'step')} / 2147483647.0::DOUBLE
-    * (SELECT sum(w)::DOUBLE FROM weights)) AS BIGINT) AS point
+  SELECT row_id AS sample_id, user_id, step, {sql_point('row_id', SEED, 'step', '(SELECT sum(w) FROM weights)')} AS point
   FROM (SELECT *, unnest(range({10 * N})) AS step FROM interactions)
 ), hits AS (SELECT d.*, r.item_id FROM draws d JOIN ranges r ON d.point >= r.lo AND d.point < r.hi
 ), accepted AS (
@@ -339,6 +338,18 @@ def demo_rows(spark, sf_dir):
     )
 
 
+WIDE_ID = "event_id * 2147483647"
+ROOM = 4_000_000_000_000_000_003
+
+
+@query(f"SELECT event_id, {sql_mix(WIDE_ID, 7)} AS mixed, {sql_point(WIDE_ID, 7, 3, str(ROOM))} AS point FROM events")
+def wide_draws(spark, sf_dir):
+    """Draws of ids that are 2**31 - 1 apart, from a range of 62 bits."""
+    events = table(spark, sf_dir, "events")
+    own = F.col("event_id") * F.lit(2147483647).cast("bigint")
+    return events.select("event_id", mix(own, 7).alias("mixed"), point(own, 7, 3, ROOM).alias("point"))
+
+
 @query(f"SELECT event_id, {sql_mix('event_id', 7, 3)} AS mixed FROM events")
 def integer_mixing(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", mix(F.col("event_id"), 7, 3).alias("mixed"))

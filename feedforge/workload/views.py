@@ -207,6 +207,13 @@ metric_log AS (
 
 def sql_mix(sample: str, seed: int | str, step: int | str = 0) -> str:
     """SQL text of the integer mixing function."""
-    linear = f"((({sample}) % {PRIME}) * 48271 + CAST({seed} AS BIGINT) * 69621 + CAST({step} AS BIGINT) * 16807 + 12345)"
+    own = f"(({sample}) % {PRIME}) * 48271 + ((CAST({sample} AS BIGINT) >> 30) % {PRIME}) * 40692"
+    linear = f"({own} + CAST({seed} AS BIGINT) * 69621 + CAST({step} AS BIGINT) * 16807 + 12345)"
     second = f"((({linear} % {PRIME}) * 39373 + 1013904223) % {PRIME})"
     return f"(({second} * ({second} % 65536 + 1)) % {PRIME})"
+
+
+def sql_point(sample: str, seed: int, step: int | str, total: str) -> str:
+    """SQL text of a draw below ``total`` from two words of the mixing function."""
+    first, second = (f"CAST({sql_mix(sample, s, step)} AS HUGEINT)" for s in (seed, seed + 2_000_003))
+    return f"CAST(({first} * {total} + ({second} * {total}) // {PRIME}) // {PRIME} AS BIGINT)"

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from feedforge.functions.draws import mix, point
 from feedforge.operators import sampling
 
 
@@ -109,3 +110,46 @@ def test_samples_do_not_depend_on_partitions(world, sampler):
 
 def test_next_prime():
     assert [sampling.next_prime(n) for n in (0, 2, 4, 100, 101, 200)] == [2, 2, 5, 101, 101, 211]
+
+
+def test_ids_far_apart_draw_differently(spark):
+    """Ids 2**31 - 1 apart, over the whole range of longs, have draws of their own."""
+    ids = sorted({i * 2147483647 for i in range(-2000, 2000)} | {-(1 << 63), (1 << 63) - 1})
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    rows = df.select(mix(F.col("id"), 1).alias("a"), point(F.col("id"), 1, 0, 1 << 62).alias("b")).collect()
+    assert len({r.a for r in rows}) > 0.99 * len(ids) and len({r.b for r in rows}) == len(ids)
+    assert all(0 <= r.b < 1 << 62 for r in rows)
+
+
+def test_points_are_uniform(spark):
+    for total in (1, 7, 10**18 + 9):
+        df = spark.range(40_000).select(F.floor(point(F.col("id"), 5, F.col("id") % 3, total) / F.lit(total / 7.0)).alias("b"))
+        counts = {r.b: r["count"] for r in df.groupBy("b").count().collect()}
+        if total > 1:
+            assert set(counts) == set(range(7)) and all(abs(n - 40_000 / 7) < 300 for n in counts.values())
+
+
+def test_the_rarest_item_can_be_drawn(spark):
+    """Shares of one in 10**10: the points of a rare item's range are hit as often as its share says."""
+    steps = spark.range(0, 4_000_000, 1, 8)
+    total, share = 10**17, 10**10
+    hits = steps.select(point(F.col("id"), 3, 0, total).alias("p")).agg(
+        *[F.count_if((F.col("p") >= i * (total // 50)) & (F.col("p") < i * (total // 50) + 1000 * share)).alias(f"n{i}") for i in range(50)]
+    ).first()
+    expected = 4_000_000 * 1000 * share / total * 50
+    assert abs(sum(hits) - expected) < 6 * expected**0.5
+    # a range of one unit: the draw that falls on it is found by the operator
+    chosen = steps.limit(1).select(point(F.lit(0), 42, 0, 10**10 + 1).alias("p")).first().p
+    assert 0 <= chosen <= 10**10
+
+
+def test_popularity_draws_follow_the_weights(spark):
+    frequencies = spark.createDataFrame([(1, 1), (2, 16), (3, 81), (4, 10**12)], "item_id long, frequency long")
+    samples = spark.range(3000).select(F.col("id").alias("sample_id"), F.lit(9).cast("bigint").alias("user_id"))
+    none = spark.createDataFrame([(9, 4)], "user_id long, item_id long")
+    found = _by_sample(sampling.popularity_negatives(samples, none.limit(0), frequencies, 1))
+    assert {i for _, items in found.values() for i in items} == {4}
+    weights = frequencies.where("item_id < 4")
+    drawn = [i for _, items in _by_sample(sampling.popularity_negatives(samples, none, weights, 1)).values() for i in items]
+    for item, weight in ((1, 1), (2, 8), (3, 27)):
+        assert abs(drawn.count(item) - 3000 * weight / 36) < 150
