@@ -86,23 +86,24 @@ def rows_without(df: DataFrame, key: Column, gone: DataFrame, once: DataFrame |
     that every scan gives a row the same one. Rows that the filter of keys lets through are joined; all others, which
     are most of a large table as long as the filter is not full, stay in their task.
     """
-    columns, name, doubt = own_columns(df), free_name(df, "key_of_row"), free_name(df, "in_doubt")
-    marked = gone.select(F.col("key").alias(name), F.lit(False).alias("keep"))
+    columns, name = own_columns(df), free_name(df, "key_of_row")
     if once is not None and once.isEmpty():
         once = None
-    if once is not None:
-        marked = marked.union(once.select("key", F.lit(True)))
-    bitmap = key_filter(marked.select(F.col(name).alias("key")), "key")
+    listed = gone.select("key") if once is None else gone.select("key").union(once.select("key"))
+    bitmap = key_filter(listed, "key")
+    keyed = df.withColumn(name, key)
 
-    @F.arrow_udf("boolean")
-    def may_be_listed(keys: pa.Array) -> pa.Array:
-        return pa.array(passes(bitmap, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+    def passing(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(passes(bitmap, keys.view(np.uint64)) == wanted))
 
-    keyed = df.withColumn(name, key)
-    keyed = keyed.withColumn(doubt, may_be_listed(F.col(name)))
-    kept = keyed.filter(~F.col(doubt)).select(*columns)
-    doubtful = keyed.filter(F.col(doubt)).drop(doubt)
-    kept = kept.union(doubtful.join(marked, name, "left_anti").select(*columns))
+        return keyed.mapInArrow(run, keyed.schema)
+
+    doubtful = passing(True)
+    marked = listed.select(F.col("key").alias(name))
+    kept = passing(False).select(*columns).union(doubtful.join(marked, name, "left_anti").select(*columns))
     if once is not None:
         again = doubtful.join(once.select(F.col("key").alias(name)), name, "left_semi").dropDuplicates([name])
         kept = kept.union(again.select(*columns))
