@@ -99,7 +99,8 @@ def rows_without(df: DataFrame, key: Column, gone: DataFrame, once: DataFrame |
                 keys = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(passes(bitmap, keys.view(np.uint64)) == wanted))
 
-        return keyed.mapInArrow(run, keyed.schema)
+        plain = keyed.toDF(*(f"c{i}" for i in range(len(keyed.columns))))  # names with dots cannot enter Arrow functions
+        return plain.mapInArrow(run, plain.schema).toDF(*keyed.columns)
 
     doubtful = passing(True)
     marked = listed.select(F.col("key").alias(name))
