@@ -18,6 +18,8 @@ from feedforge.llm.words import chunks, mixed
 
 #: Bits of a key filter: 2 MB, whatever the input.
 FILTER_BITS = 24
+#: Keys that may be broadcast: about 32 MB as Spark holds them.
+BROADCAST_KEYS = 1 << 20
 
 
 def packed(values: np.ndarray, rising: bool = False) -> bytes:
@@ -82,16 +84,21 @@ def own_columns(df: DataFrame) -> list[str]:
 def rows_without(df: DataFrame, key: Column, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` whose ``key`` (long) is not in ``gone`` (key long); of those whose key is in ``once``, one per key stays.
 
-    Both tables of keys should be written: they are read more than once. ``key`` must be computed from the row's own values, so
-    that every scan gives a row the same one. Rows that the filter of keys lets through are joined; all others, which
-    are most of a large table as long as the filter is not full, stay in their task.
+    Both tables of keys should be written: they are counted and read more than once. ``key`` must be computed from the row's own
+    values, so that every scan gives a row the same one. Up to ``BROADCAST_KEYS`` keys are broadcast, after counting them, and no row
+    moves. With more, rows that a filter of keys lets through are joined; all others, which are most of a large table as
+    long as the filter is not full, stay in their task. The result is the same.
     """
     columns, name = own_columns(df), free_name(df, "key_of_row")
     if once is not None and once.isEmpty():
         once = None
     listed = gone.select("key") if once is None else gone.select("key").union(once.select("key"))
-    bitmap = key_filter(listed, "key")
+    marked = listed.select(F.col("key").alias(name))
     keyed = df.withColumn(name, key)
+    if listed.count() <= BROADCAST_KEYS:
+        kept = keyed.join(F.broadcast(marked), name, "left_anti").select(*columns)
+        return kept if once is None else kept.union(_once(keyed, name, F.broadcast(once)).select(*columns))
+    bitmap = key_filter(listed, "key")
 
     def passing(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,12 +110,13 @@ def rows_without(df: DataFrame, key: Column, gone: DataFrame, once: DataFrame |
         return plain.mapInArrow(run, plain.schema).toDF(*keyed.columns)
 
     doubtful = passing(True)
-    marked = listed.select(F.col("key").alias(name))
     kept = passing(False).select(*columns).union(doubtful.join(marked, name, "left_anti").select(*columns))
-    if once is not None:
-        again = doubtful.join(once.select(F.col("key").alias(name)), name, "left_semi").dropDuplicates([name])
-        kept = kept.union(again.select(*columns))
-    return kept
+    return kept if once is None else kept.union(_once(doubtful, name, once).select(*columns))
+
+
+def _once(keyed: DataFrame, name: str, once: DataFrame) -> DataFrame:
+    """One row per key of ``once``."""
+    return keyed.join(once.select(F.col("key").alias(name)), name, "left_semi").dropDuplicates([name])
 
 
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

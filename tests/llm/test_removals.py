@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from feedforge.llm import decontamination, quality, similarity
+from feedforge.llm import decontamination, exchange, quality, similarity
 
 CLASHES = ("its_row", "quality_of", "kept", "key", "key_of_row", "in_doubt", "its_columns")
 SHAPES = {
@@ -40,8 +40,10 @@ def expected(tables):
     return {"bad": set(texts) - bad, "first": first, "kept": kept}
 
 
+@pytest.mark.parametrize("keys", [1 << 20, 0])
 @pytest.mark.parametrize("shape", SHAPES)
-def test_the_right_rows_go(tables, expected, shape):
+def test_the_right_rows_go(tables, expected, shape, keys, monkeypatch):
+    monkeypatch.setattr(exchange, "BROADCAST_KEYS", keys)
     docs, benchmark = (t.withColumn("a.b", F.lit(1)) for t in tables)
     every = rows_of(docs)
     shaped = SHAPES[shape](docs)
@@ -57,8 +59,10 @@ def test_the_right_rows_go(tables, expected, shape):
         assert sorted(r[at] for r in got.elements()) == sorted(expected[name]), name
 
 
-def test_one_row_of_each_group_by_row(spark):
+@pytest.mark.parametrize("keys", [1 << 20, 0])
+def test_one_row_of_each_group_by_row(spark, keys, monkeypatch):
     """Ids that repeat, with equal and with other texts, and rows without an id."""
+    monkeypatch.setattr(exchange, "BROADCAST_KEYS", keys)
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     near = b.replace("b3 ", "other ")
     rows = [(7, a, 1), (7, a, 2), (7, b, 3), (3, near, 4), (None, c, 5), (None, c, 6), (9, None, 7), (9, None, 8), (9, "", 9), (None, a, 10)]
