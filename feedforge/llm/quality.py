@@ -15,7 +15,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedforge.llm.exchange import own_columns
 from feedforge.session import written
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -201,9 +200,10 @@ def scores(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns, whatever names these have."""
-    whole = F.struct(*own_columns(docs)).alias("its_columns")
-    rows = measured(docs.select("text", "lang", "source", whole)).drop("text")
-    return judged(rows).filter("kept").select("its_columns.*")
+    own = docs.columns
+    plain = {c: c if c in ("text", "lang", "source") else f"its_{i}" for i, c in enumerate(own)}
+    kept = judged(measured(docs.toDF(*plain.values()))).filter("kept")
+    return kept.select(*plain.values()).toDF(*own)
 
 
 _SQL_RATES = ", ".join(f"('{n}', {s})" for n, s in SLACK.items())
