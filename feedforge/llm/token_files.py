@@ -18,14 +18,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedforge.llm.exchange import parts_for, record_batch, text_bytes
+from feedforge.llm.exchange import BROADCAST_KEYS, parts_for, record_batch, text_bytes
 from feedforge.llm.tokens import encoder
 from feedforge.llm.words import chunks
+from feedforge.session import written
 
 #: Bytes of text per block, bytes of a stripe, rows between two entries of the row index.
 BLOCK_BYTES = 32 << 20
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 1000
+#: Blocks whose totals are summed in one group.
+SPAN = 4096
 
 SCHEMA = "doc_id long, block int, place int, block_start long, n_tokens long, tokens array<int>"
 _ARROW = pa.schema(
@@ -94,15 +97,28 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The written rows with ``start``: the ids of all documents before each one.
 
-    Block totals come from three narrow columns; there is one row per block, numbered in order.
+    Block totals come from two narrow columns and are written, one row per block. Up to ``BROADCAST_KEYS`` blocks they are
+    broadcast after counting them, so that no array of ids moves; a longer table of blocks (some 32 TB of text by
+    default) is joined by shuffle, with the same result.
     """
     rows = spark.read.schema(SCHEMA).orc(path)
     totals = rows.groupBy("block").agg(F.max(F.col("block_start") + F.col("n_tokens")).alias("block_tokens"))
-    before = F.sum("block_tokens").over(Window.orderBy("block")) - F.col("block_tokens")
-    starts = totals.select("block", before.alias("before"))
+    starts = written(_block_starts(written(totals, "token-blocks")), "token-starts")
+    if starts.count() <= BROADCAST_KEYS:
+        starts = F.broadcast(starts)
     return rows.join(starts, "block").withColumn("start", F.col("before") + F.col("block_start")).drop("before")
 
 
+def _block_starts(totals: DataFrame) -> DataFrame:
+    """(block, before): ids of all earlier blocks, summed within spans of ``SPAN`` blocks and over the spans' totals."""
+    span = F.floor(F.col("block") / SPAN)
+    spans = totals.groupBy(span.alias("span")).agg(F.sum("block_tokens").alias("span_tokens"))
+    spans = spans.select("span", (F.sum("span_tokens").over(Window.orderBy("span")) - F.col("span_tokens")).alias("spans_before"))
+    inside = F.sum("block_tokens").over(Window.partitionBy("span").orderBy("block")) - F.col("block_tokens")
+    placed = totals.withColumn("span", span).withColumn("inside", inside).join(spans, "span")
+    return placed.select("block", (F.col("spans_before") + F.col("inside")).alias("before"))
+
+
 def token_digests(rows: DataFrame) -> DataFrame:
     """Per document of :func:`read_token_files`: doc_id, start, n_tokens and the crc32 of its ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
