@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedforge.operators.keywords import found_keywords
 from feedforge.operators.segments import HOT_ROWS, asc, is_bounded, row_number, top_n
 
 ROW = ["request_id", "pos"]
@@ -130,11 +131,15 @@ def muted_keyword(df: DataFrame, keywords: Sequence[str], name: str = "muted_key
 
 
 def muted_keyword_by_user(df: DataFrame, keywords: DataFrame, name: str = "muted_keyword") -> DataFrame:
-    """Remove texts with a keyword their user muted; ``keywords`` has (user_id, keyword)."""
+    """Remove texts with a keyword their user muted; ``keywords`` has (user_id, keyword).
+
+    The keywords of all users are found in one pass over the texts of kept rows; what was found is joined to what the
+    user muted by (user, keyword). Only row keys travel.
+    """
     df = with_removed_by(df)
-    words = keywords.select(F.col("user_id"), F.lower("keyword").alias("_word")).distinct()
-    user = df["user_id"] == words["user_id"]
-    hits = df.join(words, user & F.lower(df["text"]).contains(words["_word"]), "left_semi").select(*ROW)
+    muted = keywords.select("user_id", F.lower("keyword").alias("_word")).where("_word IS NOT NULL").distinct()
+    texts = df.where(F.col("removed_by").isNull()).select(*ROW, "user_id", "text")
+    hits = found_keywords(texts, muted).join(muted, ["user_id", "_word"], "left_semi")
     flagged = _flag(df, hits, ROW, "_muted")
     return mark(flagged, F.col("_muted"), name).select(df.columns)
 

@@ -13,6 +13,7 @@ from feedforge.operators.segments import HOT_ROWS, SEGMENT, asc, cut, desc, row_
 
 TIME_ORDER = (asc("ts_s"), asc("row_id"))
 MAX_HISTORY = 128
+PAGE_SIZE = 1000
 STEP_FIELDS = ("ts_s", "row_id", "item_id", *ACTIONS)
 
 
@@ -26,11 +27,26 @@ def recent_items(df: DataFrame, max_len: int = MAX_HISTORY) -> DataFrame:
     return top_n(df, ["user_id"], [desc("ts_s"), desc("row_id")], max_len, "recency")
 
 
-def user_histories(df: DataFrame, max_len: int | None = MAX_HISTORY) -> DataFrame:
-    """Latest ``max_len`` interactions of every user as one array, oldest first; all of them for None."""
+def user_histories(df: DataFrame, max_len: int = MAX_HISTORY) -> DataFrame:
+    """Latest ``max_len`` interactions of every user as one array, oldest first."""
     steps = F.sort_array(F.collect_list(F.struct(*STEP_FIELDS)))
-    rows = df if max_len is None else recent_items(df, max_len)
-    return rows.groupBy("user_id").agg(steps.alias("history"))
+    return recent_items(df, max_len).groupBy("user_id").agg(steps.alias("history"))
+
+
+def whole_histories(df: DataFrame, page_size: int = PAGE_SIZE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every interaction of every user with its place ``seq`` in time order and its ``page`` of ``page_size`` places.
+
+    The long form of unlimited histories: a user spans as many rows, pages and tasks as the history needs, and a page is a
+    bounded unit for readers that want arrays (:func:`history_pages`).
+    """
+    page = F.floor((F.col("seq") - 1) / F.lit(page_size)).cast("bigint")
+    return timelines(df, hot_rows).withColumn("page", page)
+
+
+def history_pages(steps: DataFrame) -> DataFrame:
+    """:func:`whole_histories` as one array per user and page, oldest first."""
+    page = F.sort_array(F.collect_list(F.struct("seq", *STEP_FIELDS)))
+    return steps.groupBy("user_id", "page").agg(page.alias("history"))
 
 
 def latest_rows(df: DataFrame) -> DataFrame:
@@ -42,11 +58,15 @@ def latest_rows(df: DataFrame) -> DataFrame:
     return newest.select("user_id", "_last.*").select(df.columns)
 
 
-def histories_for(users: DataFrame, histories: DataFrame) -> DataFrame:
-    """Histories of a list of users; users without one get an empty array."""
-    joined = users.join(histories, "user_id", "left")
-    empty = F.array().cast(histories.schema["history"].dataType)
-    return joined.withColumn("history", F.coalesce("history", empty))
+def histories_for(users: DataFrame, steps: DataFrame) -> DataFrame:
+    """Rows of :func:`whole_histories` of a list of users; a user without any has one row with nulls in the other columns.
+
+    Users are made distinct, so the large side of each join is the one that AQE may split where a user is hot.
+    """
+    wanted = users.select("user_id").distinct()
+    own = steps.join(wanted, "user_id", "left_semi")
+    without = wanted.join(steps.select("user_id").distinct(), "user_id", "left_anti")
+    return own.unionByName(without, allowMissingColumns=True)
 
 
 def latest_actions(df: DataFrame) -> DataFrame:

@@ -76,13 +76,15 @@ def user_histories(spark, sf_dir):
 
 @query(f"""
 WITH {INTERACTIONS}, hist AS (
-  SELECT user_id, array_to_string(list(item_id ORDER BY ts_s, row_id), ',') AS items FROM interactions GROUP BY user_id
-) SELECT c_custkey AS user_id, coalesce(items, '') AS items FROM customer LEFT JOIN hist ON hist.user_id = c_custkey""")
+  SELECT user_id, row_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts_s, row_id) AS seq FROM interactions
+) SELECT c_custkey AS user_id, row_id, item_id, seq, (seq - 1) // 100 AS page
+FROM customer LEFT JOIN hist ON hist.user_id = c_custkey""")
 def histories_for_users(spark, sf_dir):
-    """Histories of every customer; most have none."""
+    """Whole histories of every customer in long form; most have none."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    found = histories.histories_for(users, histories.user_histories(interactions(spark, sf_dir), None))
-    return found.select("user_id", joined_text(F.transform("history", lambda s: s["item_id"])).alias("items"))
+    steps = histories.whole_histories(interactions(spark, sf_dir), page_size=100)
+    found = histories.histories_for(users, steps)
+    return found.select("user_id", "row_id", "item_id", F.col("seq").cast("bigint").alias("seq"), "page")
 
 
 @query(f"""
