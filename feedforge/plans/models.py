@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.functions.actions import ACTIONS
 from feedforge.functions.history import id_span, uniqueness, valid_length
 from feedforge.functions.vectors import dot
-from feedforge.operators.profiles import category_scores, user_activity
+from feedforge.operators.index import shuffled_index
+from feedforge.operators.profiles import DAY, activity_level, activity_score
 from feedforge.operators.ranking import top_k
 from feedforge.operators.retrieval import top_k_items
 from feedforge.operators.scoring import engagement_score
-from feedforge.operators.stats import item_dimension, item_popularity
+from feedforge.operators.segments import HOT_ROWS, asc, running
+from feedforge.operators.stats import with_category
+from feedforge.session import written
 
 FEATURES = (
     "item_count",
@@ -32,15 +36,44 @@ FEATURES = (
 )
 
 
-def fit_retrieval(log: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 42, alpha: float = 10.0) -> ALSModel:
+@dataclass
+class RetrievalModel:
+    """Factors by dense numbers, and the dictionaries that lead from ids to them."""
+
+    als: ALSModel
+    users: DataFrame
+    items: DataFrame
+
+    def user_vectors(self) -> DataFrame:
+        """User factors as (user_id, vector)."""
+        return self.users.join(self.als.userFactors, "id").select("user_id", F.col("features").alias("vector"))
+
+    def item_vectors(self) -> DataFrame:
+        """Item factors as (item_id, vector)."""
+        return self.items.join(self.als.itemFactors, "id").select("item_id", F.col("features").alias("vector"))
+
+
+def dense_ids(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values of ``column`` with an ``id`` from 0 on, written once so that every reader sees the same numbers.
+
+    Numbers follow a hash order, without a global sort. MLlib takes 32-bit ids: more than 2^31 distinct values are an error.
+    """
+    numbered = shuffled_index(df.select(column).where(F.col(column).isNotNull()).distinct(), column, name="id")
+    return written(numbered.select(column, F.col("id").cast("int").alias("id")), "dense-ids")
+
+
+def fit_retrieval(log: DataFrame, rank: int = 16, iterations: int = 5, seed: int = 42, alpha: float = 10.0) -> RetrievalModel:
     """Factor model of the clicks of a training log.
 
-    Clicks are summed per (user, item) first. MLlib takes 32-bit ids.
+    Clicks are summed per (user, item) first. Ids may be any 64-bit number; the model sees their dense numbers.
     """
     clicks = log.where(F.col("click") == 1).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("float").alias("n"))
+    clicks = written(clicks, "clicks")
+    users, items = dense_ids(clicks, "user_id"), dense_ids(clicks, "item_id")
+    rows = clicks.join(users.withColumnRenamed("id", "user"), "user_id").join(items.withColumnRenamed("id", "item"), "item_id")
     als = ALS(
-        userCol="user_id",
-        itemCol="item_id",
+        userCol="user",
+        itemCol="item",
         ratingCol="n",
         implicitPrefs=True,
         rank=rank,
@@ -49,45 +82,85 @@ def fit_retrieval(log: DataFrame, rank: int = 16, iterations: int = 5, seed: int
         seed=seed,
         checkpointInterval=-1,
     )
-    return als.fit(clicks.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "n"))
+    return RetrievalModel(als.fit(rows.select("user", "item", "n")), users, items)
 
 
-def user_vectors(model: ALSModel) -> DataFrame:
-    """User factors as (user_id, vector)."""
-    return model.userFactors.select(F.col("id").cast("bigint").alias("user_id"), F.col("features").alias("vector"))
+def _as_of(rows: DataFrame, log: DataFrame, keys: Sequence[str], values: Mapping[str, tuple[str, Column]], hot_rows: int) -> DataFrame:
+    """Add aggregates over the log rows of the same ``keys`` strictly before each row's ``ts_s``.
 
+    Log rows and asking rows stand in one running window, asking ones first within a second. The window cuts hot keys.
+    """
+    carried = {f"_of_{name}": value for name, (_, value) in values.items()}
+    events = log.select(*keys, "ts_s", *[v.alias(n) for n, v in carried.items()], F.lit(1).alias("_event"), F.col("row_id").alias("_a"), F.lit(0).alias("_b"))
+    asking = rows.withColumns({"_event": F.lit(0), "_a": F.col("sample_id"), "_b": F.col("cand_pos")})
+    both = asking.unionByName(events, allowMissingColumns=True)
+    order = [asc("ts_s"), asc("_event"), asc("_a"), asc("_b")]
+    outputs = {name: (kind, F.col(f"_of_{name}")) for name, (kind, _) in values.items()}
+    ran = running(both, keys, order, outputs, hot_rows)
+    return ran.where("_event = 0").drop(*carried, "_event", "_a", "_b")
+
+
+def with_prior_features(rows: DataFrame, log: DataFrame, dimension: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add item_count, activity_score, activity_level and category_preference as known just before each row.
+
+    ``rows`` have sample_id, cand_pos, user_id, item_id and ts_s, unique in the first two. Only log rows of an earlier
+    second count, so no row's own labels reach its features, nor those of any row of the same second. ``dimension`` gives
+    the category of an item, a property that does not depend on labels; an unknown item has category 0.
+    """
+    one = F.lit(1).cast("bigint")
+    points = (F.col("click") + F.lit(2) * F.col("like")).cast("bigint")
+    placed = with_category(rows, dimension)
+    placed = _as_of(placed, log, ["item_id"], {"item_count": ("sum", one)}, hot_rows)
+    user = {
+        "_n": ("sum", one),
+        "_points": ("sum", points),
+        "_first": ("min", F.col("ts_s")),
+        "_last": ("max", F.col("ts_s")),
+        **{f"_n_{a}": ("sum", F.col(a).cast("bigint")) for a in ACTIONS},
+    }
+    placed = _as_of(written(placed, "item-features"), log, ["user_id"], user, hot_rows)
+    by_category = with_category(log.select("row_id", "user_id", "item_id", "ts_s", "click", "like"), dimension)
+    placed = _as_of(written(placed, "user-features"), by_category, ["user_id", "category"], {"_own": ("sum", points)}, hot_rows)
+    count = F.coalesce("_n", F.lit(0))
+    kinds = sum(F.coalesce((F.col(f"_n_{a}") > 0).cast("int"), F.lit(0)) for a in ACTIONS)
+    days = F.coalesce((F.col("_last") - F.col("_first")).cast("double") / F.lit(DAY), F.lit(0.0))
+    share = F.when(F.col("_points") > 0, F.coalesce("_own", F.lit(0)).cast("double") / F.col("_points").cast("double"))
+    scored = placed.withColumn("activity_score", activity_score(count, kinds, days))
+    return scored.withColumns(
+        {
+            "item_count": F.coalesce("item_count", F.lit(0)).cast("double"),
+            "activity_level": activity_level(count, F.col("activity_score")).cast("double"),
+            "category_preference": F.coalesce(share, F.lit(0.0)),
+        }
+    ).drop(*user, "_own")
 
-def item_vectors(model: ALSModel) -> DataFrame:
-    """Item factors as (item_id, vector)."""
-    return model.itemFactors.select(F.col("id").cast("bigint").alias("item_id"), F.col("features").alias("vector"))
 
+@dataclass
+class FeatureSource:
+    """What ranking features are made from: a log with labels, vectors and item categories.
 
-class FeatureTables:
-    """Per-user and per-item tables of the ranking features, from a training log."""
+    Vectors must come from a log that ends before the rows that a ranking model is fitted on, else their labels reach the
+    tower score through the factors.
+    """
 
-    def __init__(self, train: DataFrame, users: DataFrame, items: DataFrame):
-        activity = user_activity(train).select("user_id", "activity_score", "activity_level")
-        self.users = activity.join(users.withColumnRenamed("vector", "_user_vector"), "user_id", "full")
-        popularity = item_popularity(train).withColumnRenamed("n", "item_count")
-        dimension = popularity.join(item_dimension(train), "item_id")
-        self.items = dimension.join(items.withColumnRenamed("vector", "_item_vector"), "item_id", "full")
-        self.preferences = category_scores(train).withColumnRenamed("preference", "category_preference")
+    log: DataFrame
+    users: DataFrame
+    items: DataFrame
+    dimension: DataFrame
 
-    def attach(self, rows: DataFrame) -> DataFrame:
-        """Add the features to rows with user_id, item_id and hist_items."""
-        joined = rows.join(self.users, "user_id", "left").join(self.items, "item_id", "left")
-        joined = joined.join(self.preferences, ["user_id", "category"], "left")
-        tower = F.coalesce(dot(F.col("_user_vector"), F.col("_item_vector")), F.lit(0.0))
+    def attach(self, rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+        """Add the features to rows with sample_id, cand_pos, user_id, item_id, ts_s and hist_items."""
+        known = with_prior_features(rows, self.log, self.dimension, hot_rows)
+        joined = known.join(self.users.withColumnRenamed("vector", "_user_vector"), "user_id", "left")
+        joined = joined.join(self.items.withColumnRenamed("vector", "_item_vector"), "item_id", "left")
         history = F.coalesce("hist_items", F.array().cast("array<bigint>"))
         features = {
             "history_length": valid_length(history).cast("double"),
             "history_uniqueness": uniqueness(history),
             "history_span": id_span(history).cast("double"),
-            "tower_score": tower,
+            "tower_score": F.coalesce(dot(F.col("_user_vector"), F.col("_item_vector")), F.lit(0.0)),
         }
-        plain = ("item_count", "activity_score", "activity_level", "category_preference")
-        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in plain}
-        return joined.withColumns({**features, **filled}).drop("_user_vector", "_item_vector")
+        return joined.withColumns(features).drop("_user_vector", "_item_vector")
 
 
 def fit_ranking(
@@ -116,18 +189,19 @@ def predict(rows: DataFrame, models: Mapping[str, LogisticRegressionModel]) -> D
 def two_stage(
     users: DataFrame,
     items: DataFrame,
-    features: FeatureTables,
+    features: FeatureSource,
     models: Mapping[str, LogisticRegressionModel],
     histories: DataFrame,
+    now: int,
     retrieve: int = 100,
     show: int = 10,
 ) -> DataFrame:
-    """Top candidates by vectors, ranked by predicted engagement."""
+    """Top candidates by vectors, ranked by predicted engagement with what was known before second ``now``."""
     found = top_k_items(users, items, retrieve).select(
-        F.col("user_id").alias("request_id"), "user_id", "item_id", F.col("rank").alias("pos")
+        F.col("user_id").alias("sample_id"), "user_id", "item_id", F.col("rank").alias("cand_pos"), F.lit(now).cast("bigint").alias("ts_s")
     )
     rows = found.join(histories.select("user_id", "hist_items"), "user_id", "left")
-    scored = predict(features.attach(rows), models)
+    scored = predict(features.attach(written(rows, "two-stage")), models)
     score = engagement_score(*[F.col(f"{a}_prob") for a in ACTIONS])
-    ranked = top_k(scored.withColumn("score", score), show)
-    return ranked.select("user_id", "item_id", "rank", "score", *[f"{a}_prob" for a in ACTIONS])
+    placed = scored.withColumns({"score": score, "request_id": F.col("sample_id"), "pos": F.col("cand_pos")})
+    return top_k(placed, show).select("user_id", "item_id", "rank", "score", *[f"{a}_prob" for a in ACTIONS])
