@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedforge.operators.segments import HOT_ROWS, asc, row_number, running, top_n
@@ -16,6 +16,11 @@ def _kind(column: str = "name"):
     return F.substring_index(F.col(column), "/", -1)
 
 
+def better_of(high: Column, low: Column) -> Column:
+    """The better of a metric's extremes; null for metrics without a better direction."""
+    return F.when(_kind().isin(*LARGER_IS_BETTER), high).when(_kind().isin(*SMALLER_IS_BETTER), low)
+
+
 def metric_history(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Steps of every metric in order, numbered by ``seq``."""
     return row_number(log, ["name"], [asc("step")], "seq", hot_rows)
@@ -25,10 +30,7 @@ def running_best(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Best value so far; null for metrics without a better direction."""
     outputs = {"_high": ("max", F.col("value")), "_low": ("min", F.col("value"))}
     ran = running(log, ["name"], [asc("step")], outputs, hot_rows)
-    best = F.when(_kind().isin(*LARGER_IS_BETTER), F.col("_high")).when(
-        _kind().isin(*SMALLER_IS_BETTER), F.col("_low")
-    )
-    return ran.withColumn("best", best).drop("_high", "_low")
+    return ran.withColumn("best", better_of(F.col("_high"), F.col("_low"))).drop("_high", "_low")
 
 
 def best_values(log: DataFrame) -> DataFrame:

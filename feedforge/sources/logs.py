@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from feedforge.functions.actions import ACTIONS
 from feedforge.functions.coerce import blank_to_null, finalize_int, safe_float
+from feedforge.operators.segments import asc, running
 from feedforge.operators.split import first_users
+from feedforge.session import written
 
 # Column names of the log files.
 ALIASES = {"uid": "user_id", "iid": "item_id"}
@@ -26,6 +27,8 @@ KNOWN_COLUMNS = (
     *HISTORY_COLUMNS,
 )
 CODECS = ("zstd", "snappy", "gzip", "brotli", "none")
+# Files or splits whose offsets may be broadcast: three numbers each.
+BROADCAST_ROWS = 1 << 20
 
 
 class SourceNotFound(FileNotFoundError):
@@ -61,22 +64,50 @@ def resolve(spark: SparkSession, folder: str, scenario: str) -> tuple[str, str]:
     raise SourceNotFound(f"no {scenario}.parquet or {scenario}.csv in {folder}")
 
 
-def number_rows(scan: DataFrame, name: str = "row_id") -> DataFrame:
+def number_rows(scan: DataFrame, name: str = "row_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Dense row number in file order, without moving rows.
 
-    ``scan`` must be a plain file scan. Rows are numbered inside their file
-    split and shifted by the sizes of the earlier splits; the table joined has
-    one small row per split.
+    ``scan`` must be a plain file scan. One pass that reads no column counts the rows of every file and writes the
+    counts; running totals over them give each file its offset. A Parquet row knows its place in its file, however the file is
+    split; in other formats rows are placed in their split, so there the counts are per split. Offsets are joined by a hash of
+    file name, length and time (and split). They are broadcast up to ``broadcast_rows`` of them, counted before; beyond
+    that Spark chooses the join. The join is a left join and every place is held against the count: a row of a file or split
+    that was not counted, or that is not as long as counted, fails the query and is never lost.
     """
-    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
-    numbered = scan.select("*", *split).withColumn("_at", F.monotonically_increasing_id())
-    sizes = numbered.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_begin"))
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_file", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_begin")).alias("_shift")
+    by = ["file_path", "file_size", "file_modification_time"]
+    place = F.monotonically_increasing_id()
+    if _knows_places(scan):
+        place = F.col("_metadata.row_index")
+    else:
+        by += ["file_block_start", "file_block_length"]
+    unit = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in by]
+    placed = scan.select("*", F.xxhash64(*[F.col(f"_metadata.{c}") for c in by]).alias("_unit"), place.alias("_place"))
+    counted = scan.select(*unit, place.alias("_place")).groupBy(*[f"_{c}" for c in by])
+    sizes = counted.agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_begin"))
+    sizes = written(sizes.withColumn("_unit", F.xxhash64(*[f"_{c}" for c in by])), "row-counts")
+    units = sizes.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_unit").alias("different")).first()
+    if units["rows"] != units["different"]:
+        raise RuntimeError("two files have one hash; rename one of them")
+    order = [asc(f"_{c}") for c in by if c in ("file_path", "file_block_start")]
+    offsets = running(sizes, [], order, {"_before": ("sum", F.col("_n"))}, exclusive=True).select(
+        "_unit", "_n", "_begin", F.coalesce("_before", F.lit(0)).alias("_before")
     )
-    joined = numbered.join(F.broadcast(offsets), ["_file", "_block"])
-    return joined.withColumn(name, F.col("_at") + F.col("_shift")).drop("_file", "_block", "_at", "_shift")
+    if units["rows"] <= broadcast_rows:
+        offsets = F.broadcast(offsets)
+    at = F.col("_place") - F.col("_begin")
+    fits = F.coalesce((at >= 0) & (at < F.col("_n")), F.lit(False))
+    changed = F.raise_error(F.lit("the files or their splits changed after their rows were counted")).cast("bigint")
+    number = F.when(fits, F.col("_before") + at).otherwise(changed)
+    joined = placed.join(offsets, "_unit", "left")
+    return joined.withColumn(name, number).drop("_unit", "_place", "_n", "_begin", "_before")
+
+
+def _knows_places(scan: DataFrame) -> bool:
+    """Whether the format tells the place of a row in its file."""
+    try:
+        return bool(scan.select("_metadata.row_index").columns)
+    except AnalysisException:
+        return False
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:

@@ -174,10 +174,23 @@ def training_batches(spark, sf_dir):
 @query(f"""
 WITH {INTERACTIONS} SELECT row_id, CAST((row_number() OVER (ORDER BY row_id) - 1) // 512 AS BIGINT) AS batch_id FROM interactions""")
 def ordered_batches(spark, sf_dir):
-    """Batches in row order, written in folders and read back."""
+    """Batches in row order, written in files with a manifest and read back."""
     path = new_scratch_path(spark, "batches")
     tables.write_batches(tables.with_batches(interactions(spark, sf_dir), 512, shuffle=False), path)
-    return spark.read.parquet(path).select("row_id", "batch_id")
+    return tables.read_batches(spark, path).select("row_id", "batch_id")
+
+
+@query(f"""
+WITH {INTERACTIONS}, b AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 64 AS batch_id,
+  (row_number() OVER (ORDER BY row_id) - 1) % 64 AS batch_pos FROM interactions)
+SELECT row_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(batch_pos AS BIGINT) AS batch_pos,
+  CAST((batch_id % 16) * 64 AS BIGINT) AS first_row FROM b WHERE batch_id BETWEEN 5 AND 14""")
+def batch_range(spark, sf_dir):
+    """Ten batches read by the manifest, with their first rows in their files; the range is the feature."""
+    path = new_scratch_path(spark, "batches")
+    tables.write_batches(tables.with_batches(interactions(spark, sf_dir), 64, shuffle=False), path, 16)
+    rows = tables.read_batches(spark, path, 5, 14).select("row_id", "batch_id", "batch_pos")
+    return rows.join(tables.batch_places(spark, path, 5, 14).select("batch_id", "first_row"), "batch_id")
 
 
 def candidates_sql(negs: str, rows: str, shuffle_seed: int) -> str:
@@ -293,7 +306,7 @@ def evaluation_set(spark, sf_dir):
     log = temporal_split(datasets.with_stored_history(interactions(spark, sf_dir)))
     val, pool = part(log, "val"), datasets.training_items(log)
     folder = new_scratch_path(spark, "evaluation")
-    key = tables.evaluation_key(val, "events", "val", N, SEED)
+    key = tables.evaluation_key(f"{sf_dir}/events.parquet", "events", "val", N, SEED, history_length=12)
     build = lambda: datasets.evaluation_rows(val, user_items(log), pool, N, 12, seed=SEED)
     tables.evaluation_table(spark, folder, key, build)
     rows = tables.evaluation_table(spark, folder, key, build)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedforge.functions.coerce import finalize_int
-from feedforge.operators import metrics
+from feedforge.operators import metrics, progress
 from feedforge.session import new_scratch_path
 from feedforge.streaming import feeds, recency
 from feedforge.workload.metric_queries import ALL, KS, RANKED, _round_sql, _rounded
 from feedforge.workload.registry import query
-from feedforge.workload.views import INTERACTIONS, interactions, scored, table
+from feedforge.workload.views import INTERACTIONS, METRIC_LOG, interactions, metric_log, scored, table
 
 # 2024-01-30, near the end of the events.
 NOW = 1_706_572_800
@@ -162,6 +162,35 @@ def incremental_metric_log(spark, sf_dir):
     report.write.parquet(source)
     stream = spark.readStream.schema(report.schema).parquet(source)
     feeds.log_metrics(stream, target, new_scratch_path(spark, "log-checkpoint"), "live").awaitTermination()
-    return spark.read.parquet(target).select("name", "step", "value")
+    return feeds.read_metric_log(spark, target).select("name", "step", "value")
+
+
+def _streamed_log(spark, sf_dir):
+    """A metric log taken in as a stream, a file a batch."""
+    source, target = new_scratch_path(spark, "metric-rows"), new_scratch_path(spark, "metric-log")
+    rows = metric_log(spark, sf_dir).withColumnRenamed("name", "metric")
+    rows.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    feeds.log_metrics(stream, target, new_scratch_path(spark, "log-checkpoint"), "live", 3).awaitTermination()
+    return target
+
+
+@query(f"""
+WITH {METRIC_LOG}, log AS (SELECT 'live/' || name AS name, step, value FROM metric_log)
+SELECT name, step, round(value, 6) AS value,
+  round(CASE WHEN name LIKE '%/loss' THEN min(value) OVER w ELSE max(value) OVER w END, 6) AS best
+FROM log WINDOW w AS (PARTITION BY name ORDER BY step ROWS UNBOUNDED PRECEDING)""")
+def streamed_metric_history(spark, sf_dir):
+    """Many metrics and steps streamed into a compacted log; best values in the order of steps."""
+    log = feeds.read_metric_log(spark, _streamed_log(spark, sf_dir)).drop("best")
+    return progress.running_best(log).withColumns({c: F.round(c, 6) for c in ("value", "best")})
+
+
+@query(f"""
+WITH {METRIC_LOG} SELECT 'live/' || name AS name,
+  round(CASE WHEN name LIKE '%/loss' THEN min(value) ELSE max(value) END, 6) AS best FROM metric_log GROUP BY name""")
+def streamed_best_metrics(spark, sf_dir):
+    """Best value of every streamed metric, merged batch by batch."""
+    return feeds.best_metrics(spark, _streamed_log(spark, sf_dir)).withColumn("best", F.round("best", 6))
 
 
