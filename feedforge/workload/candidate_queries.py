@@ -181,6 +181,18 @@ def weighted_scores(spark, sf_dir):
     return _scored(spark, sf_dir).select("request_id", "pos", "score")
 
 
+@query(
+    f"WITH {CANDIDATES} SELECT request_id, pos,"
+    " round(click_prob - 10.0 * (like_prob / 2) - 5.0 * share_prob, 6) AS score FROM candidates"
+)
+def weighted_scores_of_negative_actions(spark, sf_dir):
+    """Blocks and mutes lower a score by the default weights."""
+    values = {"click": F.col("click_prob"), "block": F.col("like_prob") / 2, "mute": F.col("share_prob")}
+    predictions = F.create_map(*[x for name, value in values.items() for x in (F.lit(name), value)])
+    score = F.round(scoring.weighted_score(predictions), 6)
+    return candidates(spark, sf_dir).select("request_id", "pos", score.alias("score"))
+
+
 ENGAGEMENT = "0.4::DOUBLE * click_prob + 0.3::DOUBLE * like_prob + 0.2::DOUBLE * share_prob + 0.1::DOUBLE * follow_prob"
 
 

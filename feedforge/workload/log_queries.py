@@ -10,7 +10,7 @@ from feedforge.operators.segments import asc, desc, row_number, top_n
 from feedforge.plans.datasets import training_items
 from feedforge.session import new_scratch_path, written
 from feedforge.sources import logs, tables
-from feedforge.workload.registry import query
+from feedforge.workload.registry import joined_text, query
 from feedforge.workload.views import INTERACTIONS, SPLIT, interactions, table
 
 LOG_COLUMNS = "row_id, user_id, item_id, ts_s, click, \"like\", share, follow"
@@ -111,6 +111,27 @@ def csv_log_scan(spark, sf_dir):
     return logs.read_interactions(spark, _messy_csv(spark, sf_dir), "csv").select(*MESSY_COLUMNS)
 
 
+@query(f"""
+WITH {INTERACTIONS} SELECT user_id, item_id, ts_s,
+  CASE WHEN row_id % 3 > 0 THEN reading_duration WHEN row_id % 2 = 0 THEN CAST(row_id % 50 AS DOUBLE) ELSE 0.0::DOUBLE END AS reading_duration,
+  array_to_string([CASE WHEN (row_id + i) % 4 = 0 THEN 0 ELSE item_id + i END FOR i IN range(1, 11)], ',') AS history
+FROM interactions""")
+def recorded_history_scan(spark, sf_dir):
+    """A log with ten history columns and gaps in them; a missing duration is taken from the watching times, else 0."""
+    path = new_scratch_path(spark, "log-csv")
+    log = interactions(spark, sf_dir)
+    kept = {f"hist_{i}": F.when((F.col("row_id") + i) % 4 != 0, F.col("item_id") + i) for i in range(1, 11)}
+    rows = log.select(
+        F.col("user_id").alias("uid"), F.col("item_id").alias("iid"), F.col("ts_s").alias("timestamp"),
+        F.when(F.col("row_id") % 3 > 0, F.col("reading_duration")).alias("reading_duration"),
+        F.when(F.col("row_id") % 2 == 0, F.col("row_id") % 50).alias("watching_times"),
+        *[value.alias(name) for name, value in kept.items()],
+    )
+    rows.write.option("header", True).csv(path)
+    found = logs.read_interactions(spark, path, "csv")
+    return found.select("user_id", "item_id", "ts_s", "reading_duration", joined_text(F.col("hist_items")).alias("history"))
+
+
 @query(
     f"WITH {INTERACTIONS} SELECT count(*) AS n, CAST(sum(CASE WHEN row_id % 17 = 3 THEN 0 ELSE user_id END) AS BIGINT) AS users,"
     " CAST(sum(item_id) AS BIGINT) AS items, CAST(sum(CASE WHEN row_id % 5 = 1 THEN 0 ELSE click END) AS BIGINT) AS clicks"
