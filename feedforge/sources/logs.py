@@ -104,10 +104,7 @@ def number_rows(scan: DataFrame, name: str = "row_id", broadcast_rows: int = BRO
 
 def _knows_places(scan: DataFrame) -> bool:
     """Whether the format tells the place of a row in its file."""
-    try:
-        return bool(scan.select("_metadata.row_index").columns)
-    except AnalysisException:
-        return False
+    return "row_index" in scan.select("_metadata").schema["_metadata"].dataType.fieldNames()
 
 
 def rename_aliases(df: DataFrame) -> DataFrame:
