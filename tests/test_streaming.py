@@ -64,6 +64,20 @@ def test_stream_equals_the_model(spark, cap, compact_every):
     assert as_set(run_stream(spark, batches, compact_every, cap=cap, retention=31_536_000)) == model(batches, cap)
 
 
+def test_stream_needs_no_provider_in_the_session(spark):
+    """A session that keeps Spark's own provider runs the stream, and has its settings back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, plain)
+    try:
+        data = events(60)
+        assert as_set(run_stream(spark, [data], cap=8, retention=31_536_000)) == model([data], 8)
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_a_batch_that_runs_again_changes_nothing(spark):
     """The sink's folders of a batch are replaced, not added to, compactions included."""
     path = new_scratch_path(spark, "state")
