@@ -8,6 +8,7 @@ so filters chain. ``(request_id, pos)`` identifies a row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,10 +101,36 @@ def age(df: DataFrame, now: int, max_age: int = MAX_AGE_SECONDS, name: str = "ag
     return mark(df, _age_condition(F.lit(now), max_age), name)
 
 
-def blocked_author(df: DataFrame, blocked: DataFrame, name: str = "blocked_author") -> DataFrame:
-    """Remove authors the user blocked; ``blocked`` has (user_id, author_id)."""
+@dataclass(frozen=True)
+class GroupBlocks:
+    """Blocked pairs as two tables: every user of a group blocks every author of it.
+
+    ``users`` has (user_id, group) and ``authors`` (author_id, group). The pairs themselves, users x authors of a group, are
+    never built. The groups of one user or author travel as an array.
+    """
+
+    users: DataFrame
+    authors: DataFrame
+
+    def flag(self, df: DataFrame, flag: str) -> DataFrame:
+        """Add a column that is true where a row's user and author have a group in common."""
+        groups = F.collect_set("group")
+        by_user = self.users.groupBy("user_id").agg(groups.alias("_user_groups"))
+        by_author = self.authors.groupBy("author_id").agg(groups.alias("_author_groups"))
+        joined = df.join(by_user, "user_id", "left").join(by_author, "author_id", "left")
+        return joined.withColumn(flag, F.arrays_overlap("_user_groups", "_author_groups"))
+
+
+def _flag_blocked(df: DataFrame, blocked: DataFrame | GroupBlocks) -> DataFrame:
+    if isinstance(blocked, GroupBlocks):
+        return blocked.flag(df, "_blocked")
+    return _flag(df, blocked, ["user_id", "author_id"], "_blocked")
+
+
+def blocked_author(df: DataFrame, blocked: DataFrame | GroupBlocks, name: str = "blocked_author") -> DataFrame:
+    """Remove authors the user blocked; ``blocked`` has (user_id, author_id) or is given by groups."""
     df = with_removed_by(df)
-    flagged = _flag(df, blocked, ["user_id", "author_id"], "_blocked")
+    flagged = _flag_blocked(df, blocked)
     return mark(flagged, F.col("_blocked"), name).select(df.columns)
 
 
@@ -146,7 +173,7 @@ def muted_keyword_by_user(df: DataFrame, keywords: DataFrame, name: str = "muted
 
 def batch_filter(
     df: DataFrame,
-    blocked: DataFrame,
+    blocked: DataFrame | GroupBlocks,
     seen_items: DataFrame,
     now: int = 0,
     max_age: int = MAX_AGE_SECONDS,
@@ -160,7 +187,7 @@ def batch_filter(
     """
     df = with_removed_by(df)
     flagged = _nth(df, "item_id", hot_rows, bounded)
-    flagged = _flag(flagged, blocked, ["user_id", "author_id"], "_blocked")
+    flagged = _flag_blocked(flagged, blocked)
     flagged = _flag(flagged, seen_items, ["user_id", "item_id"], "_seen")
     reason = (
         F.when(F.col("removed_by").isNotNull(), F.col("removed_by"))
