@@ -23,6 +23,8 @@ ITEM_BLOCK = 4096
 # Bytes of item blocks that are broadcast at once.
 ROUND_BYTES = 128 << 20
 CELLS_AT_ONCE = 4_000_000
+# Histories a task pools at once; it holds a sum per dimension for each.
+POOLED_ROWS = 65_536
 
 
 def pooled_vectors(
@@ -36,15 +38,18 @@ def pooled_vectors(
     """Mean of the item vectors of a history, or their decayed mean.
 
     ``items`` has (item_id, vector). Padding and items without a vector do not
-    count. With ``decay`` position ``i`` weighs ``decay ** i``. Every dimension
-    is one plain sum, so rows are added up before the shuffle. The result has
+    count. With ``decay`` position ``i`` weighs ``decay ** i``. Histories are
+    dealt by key, ``POOLED_ROWS`` a task, before their vectors join them, so
+    ids travel and, where items can be broadcast, no sums. The result has
     (key, vector); rows without any vector are absent. ``dim`` is read from
     the first vector when it is not given.
     """
     if dim is None:
         first = items.select(F.size("vector")).first()
         dim = first[0] if first else 0
-    steps = histories.select(key, F.posexplode(history).alias("_at", "item_id")).where(F.col("item_id") > 0)
+    width = int(histories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = histories.select(key, history).repartition(max(width, -(-histories.count() // POOLED_ROWS)), key)
+    steps = dealt.select(key, F.posexplode(history).alias("_at", "item_id")).where(F.col("item_id") > 0)
     weight = F.lit(1.0) if decay is None else F.pow(F.lit(decay), F.col("_at").cast("double"))
     found = steps.join(items.select("item_id", "vector"), "item_id").withColumn("_w", weight)
     sums = [F.sum(F.col("_w") * F.get("vector", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)]
