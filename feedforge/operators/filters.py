@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from feedforge.operators.keywords import found_keywords
 from feedforge.operators.segments import HOT_ROWS, asc, is_bounded, row_number, top_n
+from feedforge.session import written
 
 ROW = ["request_id", "pos"]
 # Fixed value: two days.
 MAX_AGE_SECONDS = 172_800
 MAX_PER_CATEGORY = 3
+# Seen items a user may have as one array.
+SEEN_ITEMS = 1 << 16
 
 
 def with_removed_by(df: DataFrame) -> DataFrame:
@@ -146,6 +149,25 @@ def seen(df: DataFrame, seen_items: DataFrame, name: str = "seen") -> DataFrame:
     return mark(flagged, F.col("_seen"), name).select(df.columns)
 
 
+def seen_by_request(
+    df: DataFrame, requests: DataFrame, seen_items: DataFrame, name: str = "seen", most: int | None = None
+) -> DataFrame:
+    """:func:`seen` for candidates that are dealt by request already and then stay where they are.
+
+    What a user has seen is one array, which goes to the requests of that user. ``requests`` has (request_id, user_id) of
+    all candidates. If a user has seen more than ``most`` items, all rows are joined item by item as in :func:`seen`.
+    """
+    df = with_removed_by(df)
+    pairs = written(seen_items.select("user_id", "item_id").dropna().distinct(), "seen-items")
+    if not is_bounded(pairs, ["user_id"], SEEN_ITEMS if most is None else most):
+        return seen(df, pairs, name)
+    sets = pairs.groupBy("user_id").agg(F.collect_list("item_id").alias("items"))
+    users = requests.select("request_id", "user_id").distinct().join(sets, "user_id")
+    by_request = users.groupBy("request_id").agg(F.collect_list(F.struct("user_id", "items")).alias("_sets"))
+    hit = F.exists("_sets", lambda s: (s["user_id"] == F.col("user_id")) & F.array_contains(s["items"], F.col("item_id")))
+    return mark(df.join(by_request, "request_id", "left"), hit, name).select(df.columns)
+
+
 def muted_keyword(df: DataFrame, keywords: Sequence[str], name: str = "muted_keyword") -> DataFrame:
     """Remove texts with any of the given keywords, whatever their case."""
     df = with_removed_by(df)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from feedforge.operators.filters import chain, kept, removed, with_removed_by
 from feedforge.operators.ranking import first_ranks, top_k
 from feedforge.operators.scoring import score_chain
+from feedforge.operators.segments import is_bounded
 from feedforge.session import written
 
 logger = logging.getLogger(__name__)
@@ -31,12 +33,17 @@ class Stage:
     """One named stage.
 
     ``enable`` names a boolean column of ``requests``; the stage then acts on
-    the requests where it is true.
+    the requests where it is true. ``per_request`` states of a filter or scorer
+    that a row's outcome depends on rows of its own request only. It then runs
+    as ``run(candidates, bounded=...)`` over all rows, and its outcome counts
+    where ``enable`` is true; ``bounded`` tells whether every request is small
+    enough for one task.
     """
 
     name: str
     run: Callable
     enable: str | None = None
+    per_request: bool = False
 
 
 @dataclass(frozen=True)
@@ -66,6 +73,11 @@ class CandidatePipeline:
     compare rows and by stages that act on some requests only. ``materialize``
     therefore writes them to the shared folder after hydration and after the
     filters; None leaves one lazy plan.
+
+    With stages ``per_request`` the retrieved candidates are written instead,
+    and if every request fits into a task, hydrated ones are dealt by request
+    once: filters, scorers and the selector find a request's rows together, so
+    candidates are not written again and only the columns in use travel.
     """
 
     sources: Sequence[Stage] = ()
@@ -79,14 +91,23 @@ class CandidatePipeline:
     check_rows: bool = False
     materialize: Callable[[DataFrame, str], DataFrame] | None = written
     _flags: list[str] = field(default_factory=list, init=False)
+    _bounded: bool = field(default=False, init=False)
 
     def execute(self, requests: DataFrame) -> Result:
         """Build the plan for all requests."""
         later = (*self.hydrators, *self.filters, *self.scorers, *([self.selector] if self.selector else []))
         self._flags = sorted({s.enable for s in later if s.enable})
         retrieved = self._fetch(requests)
-        candidates = self._kept_once(self._hydrate(requests, retrieved), "hydrated")
-        candidates = self._kept_once(self._filter(candidates), "filtered")
+        self._bounded = False
+        if any(s.per_request for s in (*self.filters, *self.scorers)):
+            retrieved = self._kept_once(retrieved, "retrieved")
+            self._bounded = is_bounded(retrieved, ["request_id"])
+        candidates = self._hydrate(requests, retrieved)
+        if self._bounded:
+            candidates = self._filter(candidates.repartition("request_id"))
+        else:
+            candidates = self._kept_once(candidates, "hydrated")
+            candidates = self._kept_once(self._filter(candidates), "filtered")
         scored = self._score(kept(candidates))
         selected = self._select(scored).drop(*self._flags)
         self._effects(requests, selected)
@@ -107,6 +128,8 @@ class CandidatePipeline:
             return None
 
     def _fetch(self, requests: DataFrame) -> DataFrame:
+        flags = [F.coalesce(F.col(f), F.lit(False)).alias(f) for f in self._flags]
+        flagged = requests.select("request_id", *flags)
         merged = None
         for at, stage in enumerate(self.sources):
             asked = requests if stage.enable is None else requests.where(F.col(stage.enable))
@@ -117,12 +140,11 @@ class CandidatePipeline:
                 .withColumn("pos", F.col("pos").cast("bigint") + F.lit(at * SOURCE_STRIDE).cast("bigint")),
             )
             if found is not None:
+                # Before the union, where candidates still lie as their source left them.
+                found = found.join(flagged, "request_id") if flags else found
                 merged = found if merged is None else merged.unionByName(found, allowMissingColumns=True)
         if merged is None:
             raise ValueError("no source gave candidates")
-        if self._flags:
-            flags = (F.coalesce(F.col(f), F.lit(False)).alias(f) for f in self._flags)
-            merged = merged.join(requests.select("request_id", *flags), "request_id")
         return merged
 
     def _on_enabled(self, stage: Stage, df: DataFrame, act: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -132,6 +154,17 @@ class CandidatePipeline:
         acted = act(df.where(F.col(stage.enable)))
         return acted.unionByName(df.where(~F.col(stage.enable)), allowMissingColumns=True)
 
+    def _apply(self, stage: Stage, df: DataFrame, column: str, act: Callable) -> DataFrame:
+        """``act(df, [run])``, whose outcome is ``column``, on the enabled requests."""
+        if not stage.per_request:
+            return self._on_enabled(stage, df, lambda some: act(some, [stage.run]))
+        run = partial(stage.run, bounded=self._bounded)
+        if stage.enable is None:
+            return act(df, [run])
+        acted = act(df.withColumn("_before", F.col(column)), [run])
+        outcome = F.when(F.col(stage.enable), F.col(column)).otherwise(F.col("_before"))
+        return acted.withColumn(column, outcome).drop("_before")
+
     def _hydrate(self, requests: DataFrame, candidates: DataFrame) -> DataFrame:
         for stage in self.hydrators:
             result = self._attempt(
@@ -148,9 +181,7 @@ class CandidatePipeline:
     def _filter(self, candidates: DataFrame) -> DataFrame:
         candidates = with_removed_by(candidates)
         for stage in self.filters:
-            result = self._attempt(
-                stage, lambda: self._on_enabled(stage, candidates, lambda df: chain(df, [stage.run]))
-            )
+            result = self._attempt(stage, lambda: self._apply(stage, candidates, "removed_by", chain))
             if result is not None:
                 candidates = result
         return candidates
@@ -159,9 +190,7 @@ class CandidatePipeline:
         if "score" not in candidates.columns:
             candidates = candidates.withColumn("score", F.lit(0.0))
         for stage in self.scorers:
-            result = self._attempt(
-                stage, lambda: self._on_enabled(stage, candidates, lambda df: score_chain(df, [stage.run]))
-            )
+            result = self._attempt(stage, lambda: self._apply(stage, candidates, "score", score_chain))
             if result is not None:
                 candidates = result
         return candidates

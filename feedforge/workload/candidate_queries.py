@@ -337,11 +337,15 @@ fetched AS (
 
 def _pipeline(spark, sf_dir, side_effects=()):
     pool = candidates(spark, sf_dir)
+    requests = _requests(spark, sf_dir)
     seen = seen_items(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("item_id"), F.col("p_retailprice").alias("price"))
 
-    def from_pool(condition, requests):
-        return pool.where(condition).join(requests.select("request_id"), "request_id", "left_semi")
+    def from_pool(condition, asked):
+        return pool.where(condition).join(asked.select("request_id"), "request_id", "left_semi")
+
+    def not_seen(df, bounded):
+        return filters.seen_by_request(df, requests, seen) if bounded else filters.seen(df, seen)
 
     return CandidatePipeline(
         sources=[
@@ -350,13 +354,13 @@ def _pipeline(spark, sf_dir, side_effects=()):
         ],
         hydrators=[Stage("price", lookup(parts, "item_id", ["price"]))],
         filters=[
-            Stage("dedup", filters.dedup),
-            Stage("seen", lambda df: filters.seen(df, seen)),
-            Stage("category_cap", filters.category_cap, enable="cap"),
+            Stage("dedup", filters.dedup, per_request=True),
+            Stage("seen", not_seen, per_request=True),
+            Stage("category_cap", filters.category_cap, enable="cap", per_request=True),
         ],
         scorers=[
             Stage("weighted", lambda df: _weighted()),
-            Stage("diversity", ranking.author_diversity, enable="diversify"),
+            Stage("diversity", ranking.author_diversity, enable="diversify", per_request=True),
             Stage("rounded", lambda df: F.round("score", 6)),
         ],
         side_effects=side_effects,
