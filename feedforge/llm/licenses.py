@@ -143,14 +143,34 @@ REWRITES = (
     ),
     *SQL_REWRITES[1:],
 )
+#: The same rewrites for Java: a fixed first character or word leads, which Java looks for without trying the pattern at every
+#: character, and boundaries are looked at behind it.
+_FOR_JAVA = {
+    r"\bnon-": r"non-(?<=\bnon-)",
+    r"\bv(er|ersion)?\.? ?([0-9])": r"v(?<=\bv)(er|ersion)?\.? ?([0-9])",
+}
+#: What a copyright line holds; texts without it need no search for its beginning.
+_COPYRIGHT_MARKS = ("copyright", "(c)", "©")
+
+
+def _without_copyright_lines(text: Column) -> Column:
+    pattern, by = REWRITES[0]
+    marked = F.contains(text, F.lit(_COPYRIGHT_MARKS[0]))
+    for mark in _COPYRIGHT_MARKS[1:]:
+        marked = marked | F.contains(text, F.lit(mark))
+    return F.when(marked, F.regexp_replace(text, pattern, by)).otherwise(text)
+
+
+def _canonical_of(lowered: Column) -> Column:
+    out = _without_copyright_lines(lowered)
+    for pattern, by in REWRITES[1:]:
+        out = F.regexp_replace(out, _FOR_JAVA.get(pattern, pattern), by)
+    return F.trim(out)
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, with one spelling for equivalent words and single spaces as punctuation."""
-    out = F.lower(text)
-    for pattern, by in REWRITES:
-        out = F.regexp_replace(out, pattern, by)
-    return F.trim(out)
+    return _canonical_of(F.lower(text))
 
 
 def digest(text: Column) -> Column:
@@ -182,8 +202,11 @@ def licensed(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
             some(F.array("text"), 1), some(F.split("text", r"\n[ \t\r]*\n"), 2), some(F.split("text", r"\n"), 3)
         )
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), units.alias("u"))
-    found = rows.select("doc_id", "u.rank", digest(F.col("u.unit")).alias("digest")).join(digests, "digest")
+    # Lower case before the cuts, which are alike in both cases, so that each unit is a column and lowered once.
+    lowered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    rows = lowered.select("doc_id", units.alias("u")).select("doc_id", "u.rank", F.col("u.unit").alias("unit"))
+    hashed = F.sha2(_canonical_of(F.col("unit")).cast("binary"), 256)
+    found = rows.select("doc_id", "rank", hashed.alias("digest")).join(digests, "digest")
     counted = found.groupBy("doc_id", "license_id", "rank").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("doc_id", "license_id").agg(F.min(F.struct("rank", "n")).alias("b"))
     scope = F.element_at(F.array(F.lit("document"), F.lit("paragraph"), F.lit("line")), F.col("b.rank"))
