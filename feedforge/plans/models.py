@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
@@ -20,20 +21,12 @@ from feedforge.operators.profiles import DAY, activity_level, activity_score
 from feedforge.operators.ranking import top_k
 from feedforge.operators.retrieval import top_k_items
 from feedforge.operators.scoring import engagement_score
-from feedforge.operators.segments import HOT_ROWS, asc, running
+from feedforge.operators.segments import HOT_ROWS, asc, is_bounded, running
 from feedforge.operators.stats import with_category
 from feedforge.session import written
 
-FEATURES = (
-    "item_count",
-    "activity_score",
-    "activity_level",
-    "category_preference",
-    "history_length",
-    "history_uniqueness",
-    "history_span",
-    "tower_score",
-)
+HISTORY_FEATURES = ("history_length", "history_uniqueness", "history_span")
+FEATURES = ("item_count", "activity_score", "activity_level", "category_preference", *HISTORY_FEATURES, "tower_score")
 
 
 @dataclass
@@ -85,19 +78,45 @@ def fit_retrieval(log: DataFrame, rank: int = 16, iterations: int = 5, seed: int
     return RetrievalModel(als.fit(rows.select("user", "item", "n")), users, items)
 
 
-def _as_of(rows: DataFrame, log: DataFrame, keys: Sequence[str], values: Mapping[str, tuple[str, Column]], hot_rows: int) -> DataFrame:
+def _with_events(rows: DataFrame, log: DataFrame, keys: Sequence[str], values: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Asking rows and log rows as one table; log rows carry ``values``, and ``_event`` tells the two apart."""
+    carried = [value.alias(f"_of_{name}") for name, (_, value) in values.items()]
+    events = log.select(*keys, "ts_s", *carried, F.lit(1).alias("_event"), F.col("row_id").alias("_a"), F.lit(0).alias("_b"))
+    asking = rows.withColumns({"_event": F.lit(0), "_a": F.col("sample_id"), "_b": F.col("cand_pos")})
+    return asking.unionByName(events, allowMissingColumns=True)
+
+
+def _so_far(both: DataFrame, keys: Sequence[str], values: Mapping[str, tuple[str, Column]], hot_rows: int, bounded: bool) -> DataFrame:
     """Add aggregates over the log rows of the same ``keys`` strictly before each row's ``ts_s``.
 
     Log rows and asking rows stand in one running window, asking ones first within a second. The window cuts hot keys.
     """
-    carried = {f"_of_{name}": value for name, (_, value) in values.items()}
-    events = log.select(*keys, "ts_s", *[v.alias(n) for n, v in carried.items()], F.lit(1).alias("_event"), F.col("row_id").alias("_a"), F.lit(0).alias("_b"))
-    asking = rows.withColumns({"_event": F.lit(0), "_a": F.col("sample_id"), "_b": F.col("cand_pos")})
-    both = asking.unionByName(events, allowMissingColumns=True)
     order = [asc("ts_s"), asc("_event"), asc("_a"), asc("_b")]
     outputs = {name: (kind, F.col(f"_of_{name}")) for name, (kind, _) in values.items()}
-    ran = running(both, keys, order, outputs, hot_rows)
-    return ran.where("_event = 0").drop(*carried, "_event", "_a", "_b")
+    return running(both, keys, order, outputs, hot_rows, bounded)
+
+
+def _asking(both: DataFrame, values: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    return both.where("_event = 0").drop(*[f"_of_{name}" for name in values], "_event", "_a", "_b")
+
+
+def _bounded(rows: DataFrame, log: DataFrame, key: str, hot_rows: int) -> bool:
+    """Whether no value of ``key`` has too many log and asking rows together for one task."""
+    return is_bounded(rows.select(key).unionByName(log.select(key)), [key], hot_rows)
+
+
+def _points() -> Column:
+    return (F.col("click") + F.lit(2) * F.col("like")).cast("bigint")
+
+
+def _user_values() -> dict[str, tuple[str, Column]]:
+    return {
+        "_n": ("sum", F.lit(1).cast("bigint")),
+        "_points": ("sum", _points()),
+        "_first": ("min", F.col("ts_s")),
+        "_last": ("max", F.col("ts_s")),
+        **{f"_n_{a}": ("sum", F.col(a).cast("bigint")) for a in ACTIONS},
+    }
 
 
 def with_prior_features(rows: DataFrame, log: DataFrame, dimension: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -105,22 +124,49 @@ def with_prior_features(rows: DataFrame, log: DataFrame, dimension: DataFrame, h
 
     ``rows`` have sample_id, cand_pos, user_id, item_id and ts_s, unique in the first two. Only log rows of an earlier
     second count, so no row's own labels reach its features, nor those of any row of the same second. ``dimension`` gives
-    the category of an item, a property that does not depend on labels; an unknown item has category 0.
+    the category of an item, a property that does not depend on labels; an unknown item has category 0. The windows of a
+    user and of a user's categories share one shuffle, unless a user has more than ``hot_rows`` rows.
     """
-    one = F.lit(1).cast("bigint")
-    points = (F.col("click") + F.lit(2) * F.col("like")).cast("bigint")
+    item = {"item_count": ("sum", F.lit(1).cast("bigint"))}
+    both = _with_events(with_category(rows, dimension), log, ["item_id"], item)
+    placed = _asking(_so_far(both, ["item_id"], item, hot_rows, _bounded(rows, log, "item_id", hot_rows)), item)
+
+    user, own = _user_values(), {"_own": ("sum", _points())}
+    keys = ["user_id", "category"]
+    bounded = _bounded(rows, log, "user_id", hot_rows)
+    if not bounded:
+        placed = written(placed, "item-features")
+    by_category = with_category(log.select("row_id", "user_id", "item_id", "ts_s", *ACTIONS), dimension)
+    known = _so_far(_with_events(placed, by_category, keys, {**user, **own}), ["user_id"], user, hot_rows, bounded)
+    if not bounded:
+        known = written(known, "user-features")
+    return _finished(_asking(_so_far(known, keys, own, hot_rows, bounded), {**user, **own}))
+
+
+def with_features_at(rows: DataFrame, log: DataFrame, dimension: DataFrame, now: int) -> DataFrame:
+    """:func:`with_prior_features` of rows that all ask in second ``now``.
+
+    What is known then is one total per item, user and category of a user, so the log is aggregated and joined, and no
+    window holds it beside the rows.
+    """
+    earlier = log.where(F.coalesce(F.col("ts_s") < F.lit(now), F.lit(True)))
+    by_category = with_category(earlier.select("user_id", "item_id", *ACTIONS), dimension)
     placed = with_category(rows, dimension)
-    placed = _as_of(placed, log, ["item_id"], {"item_count": ("sum", one)}, hot_rows)
-    user = {
-        "_n": ("sum", one),
-        "_points": ("sum", points),
-        "_first": ("min", F.col("ts_s")),
-        "_last": ("max", F.col("ts_s")),
-        **{f"_n_{a}": ("sum", F.col(a).cast("bigint")) for a in ACTIONS},
-    }
-    placed = _as_of(written(placed, "item-features"), log, ["user_id"], user, hot_rows)
-    by_category = with_category(log.select("row_id", "user_id", "item_id", "ts_s", "click", "like"), dimension)
-    placed = _as_of(written(placed, "user-features"), by_category, ["user_id", "category"], {"_own": ("sum", points)}, hot_rows)
+    totals = (
+        (["item_id"], earlier, {"item_count": ("sum", F.lit(1).cast("bigint"))}),
+        (["user_id", "category"], by_category, {"_own": ("sum", _points())}),
+        (["user_id"], earlier, _user_values()),
+    )
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    for keys, source, values in totals:
+        total = source.groupBy(*[F.col(k).alias(f"_by_{k}") for k in keys]).agg(*[kinds[kind](v).alias(n) for n, (kind, v) in values.items()])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in keys])
+        placed = placed.join(total, same, "left").drop(*[f"_by_{k}" for k in keys])
+    return _finished(placed)
+
+
+def _finished(placed: DataFrame) -> DataFrame:
+    """The features from what is known of item, user and category."""
     count = F.coalesce("_n", F.lit(0))
     kinds = sum(F.coalesce((F.col(f"_n_{a}") > 0).cast("int"), F.lit(0)) for a in ACTIONS)
     days = F.coalesce((F.col("_last") - F.col("_first")).cast("double") / F.lit(DAY), F.lit(0.0))
@@ -132,7 +178,14 @@ def with_prior_features(rows: DataFrame, log: DataFrame, dimension: DataFrame, h
             "activity_level": activity_level(count, F.col("activity_score")).cast("double"),
             "category_preference": F.coalesce(share, F.lit(0.0)),
         }
-    ).drop(*user, "_own")
+    ).drop(*_user_values(), "_own")
+
+
+def with_history_features(rows: DataFrame) -> DataFrame:
+    """``hist_items`` replaced by its features, so that no array travels with every candidate."""
+    history = F.coalesce("hist_items", F.array().cast("array<bigint>"))
+    features = (valid_length(history).cast("double"), uniqueness(history), id_span(history).cast("double"))
+    return rows.withColumns(dict(zip(HISTORY_FEATURES, features))).drop("hist_items")
 
 
 @dataclass
@@ -148,19 +201,19 @@ class FeatureSource:
     items: DataFrame
     dimension: DataFrame
 
-    def attach(self, rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-        """Add the features to rows with sample_id, cand_pos, user_id, item_id, ts_s and hist_items."""
-        known = with_prior_features(rows, self.log, self.dimension, hot_rows)
+    def attach(self, rows: DataFrame, hot_rows: int = HOT_ROWS, now: int | None = None) -> DataFrame:
+        """Add the features to rows with sample_id, cand_pos, user_id, item_id, ts_s and the features of histories.
+
+        Rows that all have one ``ts_s`` should name it in ``now``.
+        """
+        if now is None:
+            known = with_prior_features(rows, self.log, self.dimension, hot_rows)
+        else:
+            known = with_features_at(rows, self.log, self.dimension, now)
         joined = known.join(self.users.withColumnRenamed("vector", "_user_vector"), "user_id", "left")
         joined = joined.join(self.items.withColumnRenamed("vector", "_item_vector"), "item_id", "left")
-        history = F.coalesce("hist_items", F.array().cast("array<bigint>"))
-        features = {
-            "history_length": valid_length(history).cast("double"),
-            "history_uniqueness": uniqueness(history),
-            "history_span": id_span(history).cast("double"),
-            "tower_score": F.coalesce(dot(F.col("_user_vector"), F.col("_item_vector")), F.lit(0.0)),
-        }
-        return joined.withColumns(features).drop("_user_vector", "_item_vector")
+        score = F.coalesce(dot(F.col("_user_vector"), F.col("_item_vector")), F.lit(0.0))
+        return joined.withColumn("tower_score", score).drop("_user_vector", "_item_vector")
 
 
 def fit_ranking(
@@ -181,9 +234,9 @@ def predict(rows: DataFrame, models: Mapping[str, LogisticRegressionModel]) -> D
     """Add ``<action>_prob`` for every model."""
     scored = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     for action, model in models.items():
-        scored = model.transform(scored.drop("_p", "rawPrediction", "prediction"))
-        scored = scored.withColumn(f"{action}_prob", vector_to_array("_p")[1])
-    return scored.drop("features", "_p", "rawPrediction", "prediction")
+        plain = model.copy({model.rawPredictionCol: "", model.predictionCol: ""})
+        scored = plain.transform(scored).withColumn(f"{action}_prob", vector_to_array("_p")[1]).drop("_p")
+    return scored.drop("features")
 
 
 def two_stage(
@@ -200,8 +253,9 @@ def two_stage(
     found = top_k_items(users, items, retrieve).select(
         F.col("user_id").alias("sample_id"), "user_id", "item_id", F.col("rank").alias("cand_pos"), F.lit(now).cast("bigint").alias("ts_s")
     )
-    rows = found.join(histories.select("user_id", "hist_items"), "user_id", "left")
-    scored = predict(features.attach(written(rows, "two-stage")), models)
+    own = users.select("user_id").join(histories.select("user_id", "hist_items"), "user_id", "left")
+    rows = found.join(with_history_features(own), "user_id")
+    scored = predict(features.attach(written(rows, "two-stage"), now=now), models)
     score = engagement_score(*[F.col(f"{a}_prob") for a in ACTIONS])
     placed = scored.withColumns({"score": score, "request_id": F.col("sample_id"), "pos": F.col("cand_pos")})
     return top_k(placed, show).select("user_id", "item_id", "rank", "score", *[f"{a}_prob" for a in ACTIONS])

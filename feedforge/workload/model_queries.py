@@ -34,14 +34,14 @@ def _fit(spark, sf_dir):
     return log, users, items, features, late
 
 
-def _labelled(log, rows, features, seed=42):
-    """Rows and one negative each, as candidates with features and labels."""
+def _labelled(log, rows, seed=42):
+    """Rows and one negative each, as candidates with labels, their second and the features of their history."""
     pool = datasets.training_items(log)
     samples = rows.select(F.col("row_id").alias("sample_id"), "user_id")
     negatives = pool_negatives(samples, user_items(log), pool, 1, seed)
     flat = datasets.candidate_rows(rows, negatives, seed)
-    known = rows.select(F.col("row_id").alias("sample_id"), "ts_s", "hist_items")
-    return features.attach(written(flat.join(known, "sample_id"), "candidates"))
+    known = models.with_history_features(rows.select(F.col("row_id").alias("sample_id"), "ts_s", "hist_items"))
+    return flat.join(known, "sample_id")
 
 
 def _vectors(spark, sf_dir):
@@ -52,16 +52,20 @@ def _vectors(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
+    """Candidates of the later training rows and of the validation rows get their features in one pass over the log."""
     log, _, _, features, late = _fit(spark, sf_dir)
-    fitted = models.fit_ranking(written(_labelled(log, late, features), "ranking-rows"))
-    scored = models.predict(_labelled(log, part(log, "val"), features), fitted)
+    fitting = _labelled(log, late).withColumn("fitting", F.lit(True))
+    asked = _labelled(log, part(log, "val")).withColumn("fitting", F.lit(False))
+    rows = written(features.attach(written(fitting.unionByName(asked), "candidates")), "ranking-rows")
+    scored = models.predict(rows.where("NOT fitting"), models.fit_ranking(rows.where("fitting")))
     return scored.select("sample_id", "cand_pos", "item_id", *ACTIONS, *[f"{a}_prob" for a in ACTIONS])
 
 
 def _recommended(spark, sf_dir):
     log, users, items, features, late = _fit(spark, sf_dir)
     train = part(log, "train")
-    fitted = models.fit_ranking(written(_labelled(log, late, features), "ranking-rows"))
+    rows = features.attach(written(_labelled(log, late), "candidates"))
+    fitted = models.fit_ranking(written(rows, "ranking-rows"))
     now = train.agg(F.max("ts_s")).first()[0] + 1
     return models.two_stage(users, items, features, fitted, latest_rows(train), now, retrieve=50, show=10)
 

@@ -54,3 +54,31 @@ def test_ids_beyond_32_bits(spark):
     model = models.fit_retrieval(spark.createDataFrame(rows, "user_id long, item_id long, click int"), rank=4, iterations=2)
     assert {r.user_id for r in model.user_vectors().collect()} == {r[0] for r in rows}
     assert {r.item_id for r in model.item_vectors().collect()} == {r[1] for r in rows}
+
+
+def test_one_second_for_all_rows(spark):
+    """Totals before a second are what running windows give rows that all ask in it, with null users, items and seconds."""
+    _, log = table(spark, 4)
+    log = log.withColumns({c: F.when(F.col("row_id") % m != 0, F.col(c)) for c, m in (("user_id", 11), ("item_id", 13), ("ts_s", 17))})
+    asked = log.select("user_id", "item_id").distinct().withColumns({"cand_pos": F.lit(0), "ts_s": F.lit(40).cast("long")})
+    asked = asked.withColumn("sample_id", F.xxhash64("user_id", "item_id"))
+    dimension = item_dimension(log)
+    plain = models.with_prior_features(asked, log, dimension).select("sample_id", *FEATURES)
+    at_once = models.with_features_at(asked, log, dimension, 40).select("sample_id", *FEATURES)
+    assert sorted(at_once.collect()) == sorted(plain.collect())
+
+
+def test_windows_of_a_user_share_a_shuffle(spark, monkeypatch):
+    """Candidates are neither written between the windows nor dealt anew for the categories of a user; large users still are."""
+    _, log = table(spark, 5)
+    rows = log.select(F.col("row_id").alias("sample_id"), F.lit(0).alias("cand_pos"), "user_id", "item_id", "ts_s")
+    names = []
+    real = models.written
+    monkeypatch.setattr(models, "written", lambda df, name: names.append(name) or real(df, name))
+    found = models.with_prior_features(rows, log, item_dimension(log))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not names and plan.count("Window") >= 3
+    shuffles = found._jdf.queryExecution().executedPlan().toString()
+    assert shuffles.count("hashpartitioning(user_id") == 1
+    models.with_prior_features(rows, log, item_dimension(log), hot_rows=30)
+    assert names == ["item-features", "user-features"]
