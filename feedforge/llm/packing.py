@@ -29,11 +29,13 @@ SHORTEST_CUT = 16
 #: Partitions whose open windows meet in one group of the merge.
 FAN_IN = 16
 
-PIECES = "sequence_id long, offset long, doc_id long, start long, length long, doc_tokens long, ids array<int>, part long"
-_ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("sequence_id", "offset", "doc_id", "start", "length", "doc_tokens")]
-    + [("ids", pa.list_(pa.int32())), ("part", pa.int64())]
-)
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 2 << 20
+
+_NUMBERS = ("sequence_id", "offset", "doc_id", "start", "length", "doc_tokens")
+#: Ids are little-endian integers of 2 bytes, or of 4 where one needs more; ``length`` tells which.
+PIECES = ", ".join(f"{n} long" for n in _NUMBERS) + ", ids binary, part long"
+_ARROW = pa.schema([(n, pa.int64()) for n in _NUMBERS] + [("ids", pa.binary()), ("part", pa.int64())])
 
 #: (doc_id, start, ids of the piece, ids of the document)
 Piece = tuple[int | None, int, np.ndarray, int]
@@ -99,12 +101,18 @@ class _Rows:
         columns = list(zip(*self.rows, strict=True)) if self.rows else [[] for _ in _ARROW]
         lengths = np.array(columns[4], np.int64)
         ids = np.concatenate(columns[6]) if self.rows else np.zeros(0, np.int32)
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        columns[6] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+        ids = ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
+        offsets = np.concatenate([[0], np.cumsum(lengths) * ids.itemsize]).astype(np.int32)
+        columns[6] = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
         self.rows, self.size = [], 0
         return record_batch(_ARROW, columns)
 
 
+def _ids(data: bytes, length: int) -> np.ndarray:
+    """The ids of a piece as uint32."""
+    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4").astype("<u4")
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,
@@ -112,12 +120,33 @@ def pack(
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
     shortest_cut: int = SHORTEST_CUT,
+) -> DataFrame:
+    """The pieces of :func:`pack_bytes` with their ids as arrays."""
+    schema = pa.schema([*((n, pa.int64()) for n in _NUMBERS), ("ids", pa.list_(pa.int32()))])
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column("length").to_pylist()
+            ids = [_ids(data, n).view(np.int32) for data, n in zip(batch.column("ids").to_pylist(), lengths, strict=True)]
+            yield record_batch(schema, [*batch.columns[:-1], ids])
+
+    pieces = pack_bytes(docs, tokenizer, end_id, window, open_windows, shortest_cut).select(*_NUMBERS, "ids")
+    return pieces.mapInArrow(arrays, ", ".join(f"{n} long" for n in _NUMBERS) + ", ids array<int>")
+
+
+def pack_bytes(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 1,
+    window: int = WINDOW,
+    open_windows: int = OPEN_WINDOWS,
+    shortest_cut: int = SHORTEST_CUT,
 ) -> DataFrame:
     """Pieces of all documents (doc_id, text) in windows of at most ``window`` ids.
 
-    Rows: sequence_id, offset (in the sequence, gapless), doc_id, start (in the document), length, doc_tokens, ids. Each
-    id of each document is in one piece. A null text counts as empty: its piece holds ``end_id`` alone. Null and repeated
-    ids are packed like others, row by row; other columns are ignored; an empty table gives no rows. Sequence ids are
+    Rows: sequence_id, offset (in the sequence, gapless), doc_id, start (in the document), length, doc_tokens, ids (bytes,
+    which Spark moves as a whole: little-endian, 2 bytes an id or 4, as ``length`` tells). Each id of each document is in
+    one piece. A null text counts as empty: its piece holds ``end_id`` alone. Null and repeated ids are packed like others, row by row; other columns are ignored; an empty table gives no rows. Sequence ids are
     unique, not gapless. A partition's windows are written once to the shared folder, so a lost executor costs its own
     partitions only, and what was already packed keeps its sequence.
     """
@@ -127,7 +156,7 @@ def pack(
         part = TaskContext.get().partitionId()
         out = _Rows(part << 32)
         packer = Packer(out.close, window, open_windows, shortest_cut)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=ENCODED_BYTES):
             ids, offsets = to_ids.encode(chunk.texts())
             for doc_id, a, b in zip(chunk.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 packer.add(doc_id, 0, ids[a:b], int(b - a))
@@ -160,16 +189,15 @@ def _merged(held: DataFrame, level: int, last: bool, window: int, open_windows:
         group = key[0].as_py()
         out = _Rows((level << 56) + (group << 32))
         packer = Packer(out.close, window, 1 if last else open_windows, 1 if last else shortest_cut)
-        numbers = {n: table.column(n).to_pylist() for n in ("sequence_id", "offset", "doc_id", "start", "doc_tokens")}
+        numbers = {n: table.column(n).to_pylist() for n in _NUMBERS}
         windows: dict[int, list[int]] = {}
         for row in sorted(range(table.num_rows), key=lambda r: (numbers["sequence_id"][r], numbers["offset"][r])):
             windows.setdefault(numbers["sequence_id"][row], []).append(row)
-        ids = table.column("ids").combine_chunks()
+        ids = table.column("ids").to_pylist()
         for rows in windows.values():
             for row in rows:
-                packer.add(
-                    numbers["doc_id"][row], numbers["start"][row], ids[row].values.to_numpy(), numbers["doc_tokens"][row]
-                )
+                own = _ids(ids[row], numbers["length"][row])
+                packer.add(numbers["doc_id"][row], numbers["start"][row], own, numbers["doc_tokens"][row])
         for pieces in packer.held:
             out.add(pieces, None if last else group)
         return pa.Table.from_batches([out.batch()])
@@ -178,16 +206,14 @@ def _merged(held: DataFrame, level: int, last: bool, window: int, open_windows:
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces of :func:`pack` with the crc32 of their ids in place of the ids."""
+    """The pieces of :func:`pack_bytes` with the crc32 of their ids, as 4 bytes each, in place of the ids."""
     names = ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")
     schema = pa.schema([(n, pa.int64()) for n in (*names, "ids_crc32")])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(len(names))
-            offsets = lists.offsets.to_numpy()
-            data = lists.values.to_numpy().astype("<u4").tobytes()
-            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            lengths = batch.column("length").to_pylist()
+            crc = [zlib.crc32(_ids(data, n)) for data, n in zip(batch.column("ids").to_pylist(), lengths, strict=True)]
             yield record_batch(schema, [*batch.columns[:-1], crc])
 
     return pieces.select(*names, "ids").mapInArrow(digest, ", ".join(f"{n} long" for n in (*names, "ids_crc32")))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
+from feedforge.llm.words import ranges
+
 #: Pieces that are remembered; beyond it the memory starts anew.
 REMEMBERED = 800_000
 
@@ -40,39 +41,72 @@ class _Memory(dict):
         return number
 
 
+class _Growing:
+    """An array that is appended to in place; its room doubles, so that a value is copied a bounded number of times."""
+
+    def __init__(self, dtype: type):
+        self.room, self.size = np.zeros(0, dtype), 0
+
+    def append(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            room = np.empty(max(size, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : size] = values
+        self.size = size
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class _Pieces:
-    """Ids of numbered pieces, one after another."""
+    """Ids of numbered pieces: where each one's begin in a common array, and how many they are."""
 
     def __init__(self):
         self.memory = _Memory()
-        self.offsets = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.begins, self.counts, self.ids = _Growing(np.int64), _Growing(np.int64), _Growing(np.int32)
         self.tails = _Memory()
-        self.tail_ids: list[list[int]] = []
+        self.tail_ids, self.tail_ends = _Growing(np.int32), [0]
 
     def learn(self, encode, encode_pieces) -> None:
         """Find the ids of the new pieces; those made of a known stem and a tail are put together from these."""
         if not self.memory.new:
             return
-        first = len(self.offsets) - 1
-        made: dict[int, tuple[int, int]] = {}
-        for piece in list(self.memory.new):
+        first = self.begins.size
+        made, stems, tails = [], [], []
+        for number, piece in enumerate(list(self.memory.new)):
             if piece[-1:] in _TAILS and "<|" not in piece and (cut := _STEM_AND_TAIL.fullmatch(piece)):
-                number = self.memory[piece]
-                made[number] = (self.memory[cut[1]], self.tails[cut[2]])
-        asked = [p if n not in made else None for n, p in enumerate(self.memory.new, first)]
-        every = encode_pieces(asked)
+                made.append(number)
+                stems.append(self.memory[cut[1]])
+                tails.append(self.tails[cut[2]])
         if self.tails.new:
-            self.tail_ids += [x.ids for x in encode(self.tails.new, add_special_tokens=False)]
+            for x in encode(self.tails.new, add_special_tokens=False):
+                self.tail_ids.append(np.array(x.ids, np.int32))
+                self.tail_ends.append(self.tail_ids.size)
             self.tails.new.clear()
-        for number, (stem, tail) in made.items():
-            known = every[stem - first] if stem >= first else self.ids[self.offsets[stem] : self.offsets[stem + 1]].tolist()
-            every[number - first] = known + self.tail_ids[tail]
-        counts = np.fromiter(map(len, every), np.int64, len(every))
-        flat = np.fromiter(chain.from_iterable(every), np.int32, int(counts.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
-        self.memory.new.clear()
+        new = self.memory.new
+        whole = np.ones(len(new), bool)
+        whole[made] = False
+        begins, counts = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        ids, begins[whole], counts[whole] = encode_pieces([new[n] for n in np.flatnonzero(whole).tolist()])
+        begins += self.ids.size
+        self.ids.append(ids)
+        self.begins.append(begins)
+        self.counts.append(counts)
+        new.clear()
+        if made:
+            ends = np.array(self.tail_ends)
+            n_stem, n_tail = self.counts.values[stems], np.diff(ends)[tails]
+            total = n_stem + n_tail
+            starts = np.cumsum(total) - total
+            ids = np.empty(int(total.sum()), np.int32)
+            ids[ranges(starts, n_stem)] = self.ids.values[ranges(self.begins.values[stems], n_stem)]
+            ids[ranges(starts + n_stem, n_tail)] = self.tail_ids.values[ranges(ends[tails], n_tail)]
+            at = first + np.array(made)
+            self.begins.values[at], self.counts.values[at] = self.ids.size + starts, total
+            self.ids.append(ids)
 
 
 def _one_word(piece: str) -> bool:
@@ -133,49 +167,55 @@ class Encoder:
             lengths[number + 1] = len(ids) + 1
         return np.concatenate(out) if out else np.zeros(0, np.int32), np.cumsum(lengths)
 
-    def _ids_of_heads(self, pieces: list[str | None]) -> list[list[int]]:
-        found = iter(self.encode_batch([p for p in pieces if p is not None], add_special_tokens=False))
-        return [[] if p is None else next(found).ids for p in pieces]
+    def _ids_of_heads(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _one_by_one([x.ids for x in self.encode_batch(pieces, add_special_tokens=False)])
+
+    def _ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where each piece's begin and how many they are.
 
-    def _ids_of_pieces(self, pieces: list[str | None]) -> list[list[int]]:
-        """Ids of each piece. Most are encoded many at once and told apart by the tokens that end or begin a word."""
-        out: list[list[int]] = [[]] * len(pieces)
+        Most are encoded many at once and told apart by the tokens that end or begin a word.
+        """
+        begins, counts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         alone, joined = [], []
         for number, piece in enumerate(pieces):
-            if piece is not None:
-                plain = _one_word(piece) if self.spaces_dropped else piece and piece[0] != "\n" and "<|" not in piece
-                (joined if plain else alone).append(number)
+            plain = _one_word(piece) if self.spaces_dropped else piece and piece[0] != "\n" and "<|" not in piece
+            (joined if plain else alone).append(number)
         lots = [joined[at : at + 500] for at in range(0, len(joined), 500)]
-        texts = ["".join(" " + pieces[n] for n in lot) for lot in lots]
+        texts = [" " + " ".join([pieces[n] for n in lot]) for lot in lots]
+        out, size = [], 0
         for lot, made in zip(lots, self.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids = made.ids
+            ids = np.array(made.ids, np.int32)
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(lot):
                 alone += lot
                 continue
-            bounds = [0, *(edges + 1).tolist()] if self.spaces_dropped else [*edges.tolist(), len(ids)]
-            for number, a, b in zip(lot, bounds[:-1], bounds[1:], strict=True):
-                out[number] = ids[a:b]
+            begins[lot] = size + (np.append(0, edges[:-1] + 1) if self.spaces_dropped else edges)
+            counts[lot] = np.diff(edges, prepend=-1) if self.spaces_dropped else np.diff(edges, append=len(ids))
+            out.append(ids)
+            size += len(ids)
         space = "" if self.spaces_dropped else " "
         texts = [pieces[n] if pieces[n][:1] == "\n" else space + pieces[n] for n in alone]
-        for number, made in zip(alone, self.encode_batch(texts, add_special_tokens=False), strict=True):
-            out[number] = made.ids
-        return out
+        ids, own, counts[alone] = _one_by_one([x.ids for x in self.encode_batch(texts, add_special_tokens=False)])
+        begins[alone] = size + own
+        return np.concatenate([*out, ids]), begins, counts
 
     def _gathered(self, numbers: np.ndarray) -> np.ndarray:
         head = np.zeros(0, np.int32)
         if len(numbers) and numbers[0] < 0:
             n = -1 - numbers[0]
-            head, numbers = self.first.ids[self.first.offsets[n] : self.first.offsets[n + 1]], numbers[1:]
-        begin = self.rest.offsets[numbers]
-        counts = self.rest.offsets[numbers + 1] - begin
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(begin - (ends - counts), counts)
-        ids = self.rest.ids[at]
+            begin = self.first.begins.values[n]
+            head, numbers = self.first.ids.values[begin : begin + self.first.counts.values[n]], numbers[1:]
+        ids = self.rest.ids.values[ranges(self.rest.begins.values[numbers], self.rest.counts.values[numbers])]
         return np.concatenate([head, ids]) if len(head) else ids
 
 
+def _one_by_one(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of ``found``, where each list's begin and its length."""
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    ids = np.concatenate([np.array(x, np.int32) for x in found]) if found else np.zeros(0, np.int32)
+    return ids, np.cumsum(counts) - counts, counts
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
