@@ -16,7 +16,7 @@ import numpy as np
 from feedforge.llm.words import ranges
 
 #: Pieces that are remembered; beyond it the memory starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 
 _STEM_AND_TAIL = re.compile(r"(.*[^\W\d_])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
