@@ -25,6 +25,8 @@ ROUND_BYTES = 128 << 20
 CELLS_AT_ONCE = 4_000_000
 # Histories a task pools at once; it holds a sum per dimension for each.
 POOLED_ROWS = 65_536
+# Tables of vectors, of a round's bytes each, that one join of histories broadcasts.
+BROADCASTS = 4
 
 
 def pooled_vectors(
@@ -34,13 +36,16 @@ def pooled_vectors(
     history: str = "hist_items",
     decay: float | None = None,
     dim: int | None = None,
+    round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """Mean of the item vectors of a history, or their decayed mean.
 
     ``items`` has (item_id, vector). Padding and items without a vector do not
     count. With ``decay`` position ``i`` weighs ``decay ** i``. Histories are
-    dealt by key, ``POOLED_ROWS`` a task, before their vectors join them, so
-    ids travel and, where items can be broadcast, no sums. The result has
+    dealt by key, ``POOLED_ROWS`` a task, before their vectors join them. The
+    vectors that histories name are written and broadcast, ``round_bytes`` at
+    a time and ``BROADCASTS`` times at most, whatever the size of ``items``, so
+    ids travel and no sums; beyond that the join is left to Spark. The result has
     (key, vector); rows without any vector are absent. ``dim`` is read from
     the first vector when it is not given.
     """
@@ -48,16 +53,40 @@ def pooled_vectors(
         first = items.select(F.size("vector")).first()
         dim = first[0] if first else 0
     width = int(histories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = histories.select(key, history).repartition(max(width, -(-histories.count() // POOLED_ROWS)), key)
+    places = histories.select(F.posexplode_outer(history).alias("_at", "item_id"))
+    opens = F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("_histories")
+    named = written(places.groupBy("item_id").agg(opens), "history-items")
+    rows = named.agg(F.sum("_histories")).first()[0] or 0
+    dealt = histories.select(key, history).repartition(max(width, -(-rows // POOLED_ROWS)), key)
     steps = dealt.select(key, F.posexplode(history).alias("_at", "item_id")).where(F.col("item_id") > 0)
     weight = F.lit(1.0) if decay is None else F.pow(F.lit(decay), F.col("_at").cast("double"))
-    found = steps.join(items.select("item_id", "vector"), "item_id").withColumn("_w", weight)
+    found = _with_vectors(steps, _named_vectors(items, named), dim, round_bytes).withColumn("_w", weight)
     sums = [F.sum(F.col("_w") * F.get("vector", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)]
     summed = found.groupBy(key).agg(F.sum("_w").alias("_total"), *sums)
     divisor = F.greatest(F.col("_total"), F.lit(1.0)) if decay is None else F.col("_total")
     return summed.select(key, F.array(*[F.col(f"_s{i}") / divisor for i in range(dim)]).alias("vector"))
 
 
+def _named_vectors(items: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``items`` that histories name, written."""
+    return written(items.select("item_id", "vector").join(named, "item_id", "left_semi"), "history-vectors")
+
+
+def _with_vectors(steps: DataFrame, items: DataFrame, dim: int, round_bytes: int) -> DataFrame:
+    """Steps joined to (item_id, vector), where the items' size allows it without moving the steps."""
+    parts = max(1, -(-items.count() * (8 * dim + 32) // round_bytes))
+    if parts > BROADCASTS:
+        return steps.join(items, "item_id")
+    if parts == 1:
+        return steps.join(F.broadcast(items), "item_id")
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        own = own.select("item_id", F.struct("vector").alias(f"_item_{part}"))
+        steps = steps.join(F.broadcast(own), "item_id", "left")
+    names = [f"_item_{part}" for part in range(parts)]
+    return steps.withColumn("_item", F.coalesce(*names)).where("_item IS NOT NULL").drop(*names).withColumn("vector", F.col("_item.vector"))
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
